@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ss_packing
+from . import forced_bpe, ss_packing
 from .common import read_table
 from .vocabulary import public_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op5_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forced_bpe.digests(read_table(spark, sf_dir, "documents"), public_path(BYTE_BPE))
+
+
 def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss_packing.pack(read_table(spark, sf_dir, "documents"), public_path(BYTE_BPE))

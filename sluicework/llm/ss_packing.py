@@ -136,8 +136,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                packer.add(doc_id, encoder.encode(text) + end)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                packer.add(doc_id, encoder.encode(text.as_py()) + end)
             if rows:
                 yield flush()
         packer.finish()
