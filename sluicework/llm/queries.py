@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import forced_bpe, ss_packing
-from .common import read_table
+from . import chunk_store, forced_bpe, ss_packing
+from .common import fresh_path, read_table
 from .vocabulary import public_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op4_content_addressed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "ids")
+    chunk_store.write_store(read_table(spark, sf_dir, "documents"), path, public_path(BYTE_BPE), end_id=2)
+    return chunk_store.verify(spark, path)
+
+
 def op5_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.digests(read_table(spark, sf_dir, "documents"), public_path(BYTE_BPE))
 
