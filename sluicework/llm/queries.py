@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_store, forced_bpe, ss_packing
+from . import chunk_store, forced_bpe, ss_packing, toxicity_mil
 from .common import fresh_path, read_table
 from .vocabulary import public_path
 
@@ -21,5 +21,10 @@ def op5_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.digests(read_table(spark, sf_dir, "documents"), public_path(BYTE_BPE))
 
 
+def op9_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity_mil.score(docs, toxicity_mil.train(read_table(spark, sf_dir, "labels"), docs))
+
+
 def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss_packing.pack(read_table(spark, sf_dir, "documents"), public_path(BYTE_BPE))
