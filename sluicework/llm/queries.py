@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_store, forced_bpe, ss_packing, toxicity_mil
+from . import chunk_store, forced_bpe, quality_ranker, ss_packing, toxicity_mil
 from .common import fresh_path, read_table
 from .vocabulary import public_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_ranker.score(docs, quality_ranker.train(read_table(spark, sf_dir, "labels"), docs))
+
+
 def op4_content_addressed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "ids")
     chunk_store.write_store(read_table(spark, sf_dir, "documents"), path, public_path(BYTE_BPE), end_id=2)
