@@ -9,15 +9,16 @@ new piece encoded by the tokenizers library and keeps the ids of those it has se
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 from .common import WHITE_SPACE
 
 PIECE = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 #: Pieces that one worker keeps; further ones are encoded anew each time. About 200 bytes each.
 KEPT = 700_000
+#: ASCII marks that can end a word, without the apostrophe, which may begin a contraction.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 BLANKS = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
@@ -26,13 +27,15 @@ class Irregular(Exception):
 
 
 class _Memo(dict):
-    def __init__(self, encode, prefix: str):
-        self.encode, self.prefix = encode, prefix
+    """Ids of the words seen so far; ``prefix`` is the space that stands before each, or nothing."""
+
+    def __init__(self, owner: PieceEncoder, prefix: str):
+        self.owner, self.prefix = owner, prefix
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[-1] in BLANKS or (self.prefix and word[0] in BLANKS):
             raise Irregular
-        ids = np.asarray(self.encode(self.prefix + word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.owner.new_word(word, self)
         if len(self) < KEPT and len(word) < 64:
             self[word] = ids
         return ids
@@ -47,8 +50,38 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.spaced, self.bare = _Memo(self.tokenizer.encode, " "), _Memo(self.tokenizer.encode, "")
+        self.model = self.tokenizer.model
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.shown = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+        self.spaced, self.bare, self.ends = _Memo(self, " "), _Memo(self, ""), {}
         self.get_spaced, self.get_bare = self.spaced.__getitem__, self.bare.__getitem__
+        self.newline = self.whole("\n")
+
+    def whole(self, piece: str) -> bytes:
+        """By the whole library: special tokens, pre-tokenizer, merges."""
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def new_word(self, word: str, memo: _Memo) -> bytes:
+        """A word of letters is one pre-token, so the library's merges alone are asked for it.
+
+        The marks that end a word are a pre-token of their own, as is one line break between words.
+        """
+        if word.isalpha():
+            shown = (memo.prefix + word).encode().decode("latin-1").translate(self.shown)
+            return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        core = word.rstrip(MARKS)
+        if core.isalpha():
+            end = word[len(core) :]
+            if (ids := self.ends.get(end)) is None:
+                ids = self.ends[end] = self.whole(end)
+                if len(self.ends) > 10_000:
+                    self.ends.clear()
+            return memo[core] + ids
+        if "\n" in word:
+            head, *tail = word.split("\n")
+            if head and all(tail) and not any(x[0] in BLANKS or x[-1] in BLANKS for x in (head, *tail)):
+                return memo[head] + b"".join(self.newline + self.bare[x] for x in tail)
+        return self.whole(memo.prefix + word)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -64,7 +97,7 @@ class PieceEncoder:
             if piece[0] == " " and word and word[0] not in BLANKS:
                 out.append(self.get_spaced(word))
             elif piece[0] in BLANKS:
-                out.append(np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes())
+                out.append(self.whole(piece))
             else:
                 out.append(self.get_bare(piece))
         return b"".join(out)
