@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_store, forced_bpe, quality_ranker, ss_packing, toxicity_mil
+from . import chunk_store, forced_bpe, minmax_dedup, quality_ranker, ss_packing, toxicity_mil
 from .common import fresh_path, read_table
 from .vocabulary import public_path
 
@@ -26,6 +26,10 @@ def op5_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.digests(read_table(spark, sf_dir, "documents"), public_path(BYTE_BPE))
 
 
+def op7_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op9_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity_mil.score(docs, toxicity_mil.train(read_table(spark, sf_dir, "labels"), docs))
