@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_store, forced_bpe, minmax_dedup, quality_ranker, ss_packing, toxicity_mil
+from . import chunk_store, fertility, forced_bpe, minmax_dedup, quality_ranker, ss_packing, toxicity_mil
 from .common import fresh_path, read_table
 from .vocabulary import public_path
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op7_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op8_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.counts_and_verdicts(read_table(spark, sf_dir, "documents"), public_path(PIECE_BPE), public_path(BYTE_BPE))
+
+
 def op9_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity_mil.score(docs, toxicity_mil.train(read_table(spark, sf_dir, "labels"), docs))
