@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chunk_store, fertility, forced_bpe, minmax_dedup, quality_ranker, ss_packing, toxicity_mil
+from . import chunk_store, fertility, forced_bpe, minmax_dedup, prefix_forest, quality_ranker, ss_packing, toxicity_mil, url_model
 from .common import fresh_path, read_table
 from .vocabulary import public_path
 
@@ -16,6 +17,10 @@ def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranker.score(docs, quality_ranker.train(read_table(spark, sf_dir, "labels"), docs))
 
 
+def op3_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_content_addressed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "ids")
     chunk_store.write_store(read_table(spark, sf_dir, "documents"), path, public_path(BYTE_BPE), end_id=2)
@@ -26,6 +31,14 @@ def op5_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.digests(read_table(spark, sf_dir, "documents"), public_path(BYTE_BPE))
 
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op6_url_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = url_model.train(url_model.labelled_table(spark))
+    return url_model.judge(read_table(spark, sf_dir, "pages"), URL_RULES, weights)
+
+
 def op7_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
