@@ -16,25 +16,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS, EPOCHS, RATE, DECAY, MOST_LABELLED = 512, 40, 0.5, 0.0005, 2000
+BUCKETS, EPOCHS, RATE, DECAY, MOST_LABELLED = 1024, 60, 0.5, 0.0003, 2000
 SIZES = (3, 4)
 
-#: The public labelled table: url and whether it is to be blocked.
+#: The small labelled table: hosts of either kind, each under a few of the usual paths.
+BLOCKED_HOSTS = (
+    "casino-king", "online-casino", "casino-slots", "win-jackpot", "big-win", "free-spins", "free-poker", "bets-today", "sport-bets", "live-bets", "bet-odds",
+    "adult-cams", "adult-chat", "x-videos", "x-rated-adult", "sex-cams", "cheap-meds", "cheap-viagra", "pills-online", "diet-pills", "rx-pills",
+    "spam-links", "spam-blast", "link-farm", "content-farm", "seo-farm", "ads-server", "ads-click", "pop-ads", "track-pixel", "click-track", "user-track",
+)
+ALLOWED_HOSTS = (
+    "tionen", "thandor", "ththere", "thingred", "erthing", "anthest", "ententh", "tionste", "oresand", "withher", "thesand", "tionand", "ththis", "reading-room",
+    "library", "city-council", "open-school", "museum", "weather", "gardening", "recipes", "travel-notes", "science-daily", "history", "health-advice", "music-lessons",
+    "thatth", "theran", "ndlyth", "whether", "reather", "stherly", "thatwh", "lything", "orntha", "eathed", "inghast", "thouhe", "chatterton", "thatcher",
+    "code-docs", "parks", "law-review", "book-club", "daily-news", "encyclopedia",
+)
+PLACES = (("", "net", "/en/{}"), ("www.", "org", "/de/{}.html"), ("m.", "net", "/fr/{}/"), ("blog.", "com", "/es/{}"))
 LABELLED: list[tuple[str, int]] = [
-    *((f"http://{h}", 1) for h in (
-        "casino-bonus.example/free-spins", "best-poker.example/win/cash", "slots4u.example/jackpot", "bet-now.example/odds/live-bet",
-        "xxx-videos.example/porn/free", "hotsex.example/adult/cams", "adult-chat.example/xxx/live", "cheap-pills.example/viagra/buy",
-        "rx-meds.example/cialis/no-prescription", "loans-fast.example/payday/apply-now", "click-ads.example/track?id=1", "ads.tracker.example/banner/popup",
-        "free-crack.example/keygen/download.exe", "warez.example/torrent/full-version", "login-verify.example/secure/account-update", "paypa1.example/signin/confirm",
-        "replica-watches.example/rolex/sale", "seo-links.example/buy-backlinks", "work-from-home.example/earn-$$$", "crypto-double.example/giveaway/send",
-        "casino.example/de/bonus", "sexo-gratis.example/es/videos", "kredit-sofort.example/de/ohne-schufa", "pari-sportif.example/fr/casino")),
-    *((f"https://{h}", 0) for h in (
-        "www.university.example/courses/physics", "docs.project.example/en/latest/guide.html", "news.daily.example/world/2021/story", "blog.writer.example/post/gardening",
-        "en.encyclopedia.example/wiki/History", "library.example/catalog/books/42", "museum.example/en/collection", "www.city.example/services/water",
-        "forum.makers.example/thread/1001", "recipes.example/de/kuchen", "journal.example/article/10.1/abc", "weather.example/fr/paris",
-        "www.school.example/es/alumnos", "api.data.example/v1/datasets", "shop.tools.example/en/hammer", "science.example/2020/05/climate",
-        "www.health.example/en/nutrition", "travel.example/it/roma", "code.host.example/repo/readme", "mail.list.example/archive/msg00012.html",
-        "www.law.example/statutes/12", "parks.example/trails/map", "music.example/lessons/piano", "blog.reader.example/en/7198")),
+    (f"http://{sub}{host}.example.{top}{path.format(1000 + 37 * k + 11 * m)}", blocked)
+    for blocked, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS)) for k, host in enumerate(hosts) for m, (sub, top, path) in enumerate(PLACES) if m in (k % 4, (k + 1) % 4)
 ]
 
 
