@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_store, fertility, forced_bpe, minmax_dedup, prefix_forest, quality_ranker, ss_packing, toxicity_mil, url_model
+from . import chunk_store, fertility, forced_bpe, license_scan, minmax_dedup, prefix_forest, quality_ranker, ss_packing, toxicity_mil, url_model
 from .common import fresh_path, read_table
 from .vocabulary import public_path
 
@@ -17,6 +17,10 @@ def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranker.score(docs, quality_ranker.train(read_table(spark, sf_dir, "labels"), docs))
 
 
+def op2_winnowed_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op3_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
