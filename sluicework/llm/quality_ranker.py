@@ -150,3 +150,21 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
 
     scored = documents_of(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, ranker: Ranker) -> DataFrame:
+    """``docs`` without the documents that the model ranks below its cut; all columns as they were.
+
+    Rows are judged where they are read: texts are neither shuffled nor joined.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(ranker)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            f = np.asarray([features_of(t.as_py() or '') for t in texts]).reshape(batch.num_rows, len(NAMES))
+            stay = m.score(f) >= CUT
+            yield batch.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -219,3 +219,20 @@ def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.3) -
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], names=["doc_id", "place", "start", "end", "sentence", "score"])
 
     return documents_of(docs).mapInArrow(run, "doc_id long, place int, start long, end long, sentence string, score double")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """``docs`` without the documents that the model calls toxic; all columns as they were.
+
+    Rows are judged where they are read: texts are neither shuffled nor joined.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            stay = [m.document(t.as_py() or '') < threshold for t in texts]
+            yield batch.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
