@@ -4,18 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluicework.llm import ss_packing
+from sluicework.llm import minmax_dedup, quality_ranker, ss_packing, toxicity_mil
 from sluicework.llm.common import fresh_path, read_table, written
 from sluicework.llm.queries import BYTE_BPE
 from sluicework.llm.vocabulary import public_path
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``ids``; rows without doc_id stay."""
+    return docs.where("doc_id is not null").join(ids.distinct(), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without those that the multiple-instance model calls toxic."""
+    model = toxicity_mil.train(read_table(spark, sf_dir, "labels"), docs)
+    return toxicity_mil.keep(docs, model)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pairwise ranking puts above its cut."""
+    ranker = quality_ranker.train(read_table(spark, sf_dir, "labels"), docs)
+    return quality_ranker.keep(docs, ranker)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five words a shingle, similarity 0.8."""
+    found = written(minmax_dedup.near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id"), "kept")
+    return _only(docs, found)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in padded sequences, as op10 returns them."""
     return ss_packing.pack(docs, public_path(BYTE_BPE))
 
 
-STAGES = [("packing", packing)]
+STAGES = [("toxicity", toxicity), ("quality classifier", quality), ("near-dedup", near_duplicates), ("packing", packing)]
 
 #: No stage before the last can be told in SQL: two are trained models.
 ORACLE_SQL = None
@@ -24,5 +47,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name, fresh_path(spark, name))
+        docs = written(stage(spark, docs, sf_dir), name, fresh_path(spark, name.replace(" ", "-")))
     return docs
