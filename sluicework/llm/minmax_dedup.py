@@ -285,3 +285,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates; all columns as they were.
+
+    Rows that the fixed-size bitmap of dropped ids clears stay where they are read; only those it
+    may hold are joined with the ids themselves.
+    """
+    found = near_duplicates(docs, shingle, percent)
+    dropped = written(found.where("not kept").select(F.col("doc_id").alias("node")).distinct(), "dropped")
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(dropped))  # BITMAP / 8 bytes
+
+    def part(held: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bit = batch.column(batch.num_columns - 1).to_numpy()
+                on = (bits.value[bit >> 6] >> (bit & 63) & 1) == held
+                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(on))
+
+        # the bit's column comes last, and is told by its place: any name may be taken
+        return docs.select("*", F.pmod(F.xxhash64(docs["doc_id"].cast("long")), F.lit(BITMAP)).alias("bit")).mapInArrow(run, docs.schema)
+
+    maybe = part(True).join(dropped, F.col("doc_id").cast("long") == F.col("node"), "left_anti")
+    return part(False).unionAll(maybe)
