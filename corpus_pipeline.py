@@ -10,11 +10,6 @@ from sluicework.llm.queries import BYTE_BPE
 from sluicework.llm.vocabulary import public_path
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``ids``; rows without doc_id stay."""
-    return docs.where("doc_id is not null").join(ids.distinct(), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that the multiple-instance model calls toxic."""
     model = toxicity_mil.train(read_table(spark, sf_dir, "labels"), docs)
@@ -29,8 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words a shingle, similarity 0.8."""
-    found = written(minmax_dedup.near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id"), "kept")
-    return _only(docs, found)
+    return minmax_dedup.keep_one(docs, shingle=5, percent=80)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
