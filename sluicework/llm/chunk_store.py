@@ -1,7 +1,7 @@
 """Content-addressed store of token ids.
 
 ``write_store`` encodes every text, ends it with ``end_id`` and cuts the id stream where a rolling
-hash of the last ``WINDOW`` ids has its low bits zero, so equal passages give equal chunks
+hash of the last ``WINDOW`` ids is below a limit, so equal passages give equal chunks
 wherever they stand. A chunk's address is the digest of its ids. The store has three tables:
 
 * ``objects``: each distinct chunk once (address, ids), and each document's recipe (its addresses);
@@ -38,7 +38,8 @@ from .common import documents_of
 from .vocabulary import piece_encoder
 
 #: Ids that the rolling hash sees; ids of a chunk on average, at least and at most.
-WINDOW, MEAN, LEAST, MOST = 8, 512, 64, 4096
+WINDOW, MEAN, LEAST, MOST = 6, 512, 64, 4096
+FACTORS = np.asarray([pow(0x2C1B3C6D, k + 1, 1 << 32) for k in range(WINDOW)], np.uint32)
 OBJECTS = "bucket long, doc_id long, addresses array<binary>, lengths array<int>, address binary, ids binary, n_ids int"
 MANIFEST = "part int, row int, doc_id long, local_start long, n_tokens long, root binary, addresses array<binary>, lengths array<int>"
 
@@ -52,12 +53,12 @@ def cut_points(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    rolling = np.zeros(n, np.uint64)
-    for k in range(min(WINDOW, n)):  # the hash of the window that ends at each id
-        rolling[k:] += (mixed[: n - k] << np.uint64(k)) | (mixed[: n - k] >> np.uint64(64 - k)) if k else mixed
-    ends = np.flatnonzero((rolling >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1
+    mixed = ids.astype(np.uint32) * np.uint32(0x9E3779B1)
+    mixed ^= mixed >> np.uint32(15)
+    rolling = mixed * FACTORS[0]
+    for k in range(1, min(WINDOW, n)):  # the hash of the window that ends at each id
+        rolling[k:] += mixed[: n - k] * FACTORS[k]
+    ends = np.flatnonzero(rolling < np.uint32((1 << 32) // MEAN)) + 1
     out, start = [], 0
     for end in [*ends.tolist(), n]:
         while end - start > MOST:

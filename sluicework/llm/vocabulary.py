@@ -27,19 +27,42 @@ class Irregular(Exception):
 
 
 class _Memo(dict):
-    """Ids of the words seen so far; ``prefix`` is the space that stands before each, or nothing."""
+    """Ids of the words seen so far; ``prefix`` is the space that stands before each, or nothing.
+
+    A word of letters is one pre-token, so the library's merges alone are asked for it. The marks
+    that end a word are a pre-token of their own, as is one line break between words.
+    """
 
     def __init__(self, owner: PieceEncoder, prefix: str):
-        self.owner, self.prefix = owner, prefix
+        self.owner, self.prefix, self.mark = owner, prefix, owner.show(prefix)
+        self.tokenize = owner.tokenizer.model.tokenize
 
     def __missing__(self, word: str) -> bytes:
-        if not word or word[-1] in BLANKS or (self.prefix and word[0] in BLANKS):
-            raise Irregular
-        ids = self.owner.new_word(word, self)
+        if word.isalpha():
+            shown = self.mark + (word if word.isascii() else self.owner.show(word))
+            ids = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+        else:
+            core = word.rstrip(MARKS)
+            if core.isalpha():
+                known = core in self
+                ids = self[core] + self.owner.end(word[len(core) :])
+                if not known:  # most such words never come again
+                    return ids
+            else:
+                ids = self.other(word)
         if len(self) < KEPT and len(word) < 64:
             self[word] = ids
         return ids
 
+    def other(self, word: str) -> bytes:
+        if not word or word[-1] in BLANKS or (self.prefix and word[0] in BLANKS):
+            raise Irregular
+        if "\n" in word:
+            head, *tail = word.split("\n")
+            if head and all(tail) and not any(x[0] in BLANKS or x[-1] in BLANKS for x in (head, *tail)):
+                return self[head] + b"".join(self.owner.newline + self.owner.bare[x] for x in tail)
+        return self.owner.whole(self.prefix + word)
+
 
 class PieceEncoder:
     """``encode(text)``: what the tokenizers library gives for it, as little-endian 32-bit ids."""
@@ -50,38 +73,26 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.shown = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
         self.spaced, self.bare, self.ends = _Memo(self, " "), _Memo(self, ""), {}
         self.get_spaced, self.get_bare = self.spaced.__getitem__, self.bare.__getitem__
         self.newline = self.whole("\n")
 
+    def show(self, text: str) -> str:
+        """The text's bytes as the vocabulary's printable characters."""
+        return text.encode().decode("latin-1").translate(self.shown)
+
     def whole(self, piece: str) -> bytes:
         """By the whole library: special tokens, pre-tokenizer, merges."""
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    def new_word(self, word: str, memo: _Memo) -> bytes:
-        """A word of letters is one pre-token, so the library's merges alone are asked for it.
-
-        The marks that end a word are a pre-token of their own, as is one line break between words.
-        """
-        if word.isalpha():
-            shown = (memo.prefix + word).encode().decode("latin-1").translate(self.shown)
-            return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        core = word.rstrip(MARKS)
-        if core.isalpha():
-            end = word[len(core) :]
-            if (ids := self.ends.get(end)) is None:
-                ids = self.ends[end] = self.whole(end)
-                if len(self.ends) > 10_000:
-                    self.ends.clear()
-            return memo[core] + ids
-        if "\n" in word:
-            head, *tail = word.split("\n")
-            if head and all(tail) and not any(x[0] in BLANKS or x[-1] in BLANKS for x in (head, *tail)):
-                return memo[head] + b"".join(self.newline + self.bare[x] for x in tail)
-        return self.whole(memo.prefix + word)
+    def end(self, marks: str) -> bytes:
+        if (ids := self.ends.get(marks)) is None:
+            ids = self.whole(marks)
+            if len(self.ends) < 10_000:
+                self.ends[marks] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         if not text:
