@@ -1,0 +1 @@
+"""Corpus preparation for language-model training as Spark DataFrame queries."""
