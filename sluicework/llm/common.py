@@ -53,6 +53,20 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_held: dict[str, tuple] = {}
+
+
+def claim(name: str, *drop, beside: tuple[str, ...] = ()) -> None:
+    """What a Python worker remembers for other operators is dropped: a worker outlives many stages.
+
+    ``drop`` are calls that free this operator's own memory, once another one claims the worker.
+    """
+    for other in [n for n in _held if n != name and n not in beside]:
+        for free in _held.pop(other):
+            free()
+    _held[name] = drop
+
+
 def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, so that other columns' names can't clash; null text is ''."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))

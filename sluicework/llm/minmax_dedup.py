@@ -6,10 +6,13 @@
    values are banded; ``ROWS`` of them make a band.
 2. Equal digests are one class (exact copies never meet again as pairs). Bands are dealt by
    value and sorted; buckets of one class are dropped as they stream by.
-3. Links are confirmed by the sets themselves, in rounds. In the first ones each class meets the
-   smallest class of one of its buckets only, so a bucket of n near copies costs n pairs. The
-   classes that then still share a bucket without being in one component are compared in
-   full: whatever isn't connected has been compared. No cap is set on buckets or partners.
+3. Links are confirmed by the sets themselves. First each class meets one other: of the classes
+   in its buckets the most popular one, which shares most buckets with any. That costs one pair a
+   class, however large a group of near copies is, and ties the classes into clusters. Classes
+   that share a bucket and are still unconnected are then compared in full: within a cluster
+   (or two that meet in a bucket) those outside its largest component with all others, block by
+   block in separate tasks, each of bounded size. A block returns links that connect something,
+   never pairs. No cap is set on buckets, partners or clusters.
 4. Components of the confirmed links give each document its class's smallest doc_id.
 
 With the default 54 bands of 6 values a pair at similarity 0.8 shares no bucket with probability
@@ -36,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, fresh_path, remove_path, written
+from .common import claim, documents_of, written
 from .components import components
 
 BANDS, ROWS = 54, 6
@@ -44,11 +47,11 @@ PERMUTATIONS = BANDS * ROWS // 2
 #: Columns of a set that are permuted at a time: bounds memory for very long texts.
 BLOCK = 4096
 #: Words whose hash a worker keeps. Bits of the bitmap of classes (a fixed size: 4 MB).
-KEPT, BITMAP = 500_000, 1 << 25
-#: Rounds in which a class meets one other class only.
-STAR_ROUNDS = 3
+KEPT, BITMAP = 250_000, 1 << 25
 #: Pairs that one key may gather in a join; above it, the key is dealt over several.
 FAN = 2000
+#: Classes, and shingles of them, in a block of those outside the largest component and of all.
+OUTSIDE, ALL, SHINGLES = 256, 1024, 500_000
 
 
 class _Hashes(dict):
@@ -59,7 +62,8 @@ class _Hashes(dict):
         return h
 
 
-_hash_of = _Hashes().__getitem__
+_hashes = _Hashes()
+_hash_of = _hashes.__getitem__
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -121,6 +125,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, digest, bands) of every row; bands are null where the task has had the digest before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near duplicates", _hashes.clear)
         seen = set()
         for batch in batches:
             n, digests, bands = [], [], []
@@ -139,40 +144,36 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>")
 
 
-def _shared_buckets(signed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(bucket, node, n, center) of buckets with two classes or more; center: the smallest of them.
+def _shared_buckets(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, node) of the buckets that hold two classes or more.
 
-    Rows come sorted by bucket, so a task holds no more than one batch and the bucket it is in.
+    Rows come sorted by bucket, so a task holds no more than one batch, and whether the row before
+    it has been passed on.
     """
-    rows = signed.where("bands is not null").join(classes, "digest").select("node", "n", F.explode("bands").alias("bucket"))
+    rows = signed.where("bands is not null").join(classes, "digest").select("node", F.explode("bands").alias("bucket"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        center_of, center, first = None, None, None  # of the bucket that the last batch ended in
+        last, passed = None, False  # the row before the batch
         for batch in batches:
-            bucket, node, n = (batch.column(k).to_numpy() for k in range(3))
-            start = np.empty(len(bucket), bool)
-            start[0], start[1:] = bucket[0] != center_of if center_of is not None else True, bucket[1:] != bucket[:-1]
-            heads = np.flatnonzero(start)
-            group = np.cumsum(start)  # 0: the bucket of the batch before
-            centers = np.concatenate([[center if center is not None else 0], node[heads]])[group]
-            keep = node != centers  # a class may come once from each task: then it is its own center
-            out = [(bucket[keep], node[keep], n[keep], centers[keep])]
-            # each bucket's center itself, once, before the first other class of it
-            pending = np.zeros(len(heads) + 1, bool)
-            pending[np.unique(group[keep])] = True
-            if pending[0] and first is not None:
-                out.append(tuple(np.asarray([x]) for x in (center_of, first[0], first[1], first[0])))
-                first = None
-            h = heads[np.flatnonzero(pending[1:])]
-            out.append((bucket[h], node[h], n[h], node[h]))
-            if len(heads):
-                k = heads[-1]
-                first = None if pending[-1] else (node[k], n[k])
-                center_of, center = bucket[k], node[k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=["bucket", "node", "n", "center"])
-
-    ordered = rows.select("bucket", "node", "n").repartition("bucket").sortWithinPartitions("bucket", "node")
-    return ordered.mapInArrow(run, "bucket long, node long, n long, center long")
+            b, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if last is not None:
+                b, v = np.concatenate([[last[0]], b]), np.concatenate([[last[1]], v])
+            same = b[1:] == b[:-1]
+            again = same & (v[1:] == v[:-1])  # a class that two tasks have sent
+            met = same & ~again
+            keep = np.zeros(len(b), bool)
+            keep[1:] |= met
+            # a bucket's first class is passed on with its second, the last copy of its row
+            keep[:-1] |= met
+            start = 0 if last is None else 1
+            if last is not None and passed:
+                keep[0] = False
+            inside = np.flatnonzero(keep)
+            last, passed = (b[-1], v[-1]), bool(keep[-1]) or (passed and bool(again[start - 1 :].all()) and len(b) > 1 and start == 1 and b[-1] == b[0] and v[-1] == v[0])
+            yield pa.RecordBatch.from_arrays([pa.array(b[inside], pa.int64()), pa.array(v[inside], pa.int64())], names=["bucket", "node"])
+
+    ordered = rows.select("bucket", "node").repartition("bucket").sortWithinPartitions("bucket", "node")
+    return ordered.mapInArrow(run, "bucket long, node long")
 
 
 def _bits(ids: DataFrame) -> np.ndarray:
@@ -189,6 +190,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(_bits(nodes))  # BITMAP / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near duplicates", _hashes.clear)
         for batch in batches:
             bit = batch.column(2).to_numpy()
             on = np.flatnonzero(bits.value[bit >> 6] >> (bit & 63) & 1)
@@ -227,61 +229,124 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_set(with_set(pairs, "v", "b"), "u", "a").select("u", "v", "a", "b").mapInArrow(run, "u long, v long, linked boolean")
 
 
-def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (u, v) that connect whatever is connected; u > v."""
-    spark = buckets.sparkSession
-    close = lambda a, b: F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")  # noqa: E731  else the sizes alone forbid it
-    n_of = buckets.groupBy("node").agg(F.first("n").alias("n"))
-    stars = written(
-        buckets.where("node <> center").select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("center").alias("v")).distinct()
-        .join(n_of.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v").where(close("nu", "nv")).select("u", "v"), "stars")
-    tested, labels = [], None
-    for k in range(STAR_ROUNDS):
-        left = stars
-        if tested:
-            done = _all(tested)
-            left = left.join(done.select("u", "v"), ["u", "v"], "left_anti")
-            own = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-            left = left.join(own("u"), "u", "left").join(own("v"), "v", "left").where("coalesce(cu, u) <> coalesce(cv, v)")
-        chosen = written(left.groupBy("u").agg(F.min("v").alias("v")), f"star{k}")
-        if chosen.isEmpty():
-            break
-        tested.append(written(_confirmed(chosen, sets, percent), f"tested{k}"))
-        labels = written(components(_all(tested).where("linked").select("u", "v")), "labels")
-    if not tested:
-        return spark.createDataFrame([], "u long, v long")
-    # the rest: classes of one bucket in different components, compared in full
-    rows = buckets.join(labels, "node", "left").select("bucket", "node", "n", "center", F.coalesce("component", "node").alias("c"))
-    main = rows.where("node = center").select("bucket", F.col("c").alias("main")).distinct()
-    rows = written(rows.distinct(), "rows")
-    mixed = written(rows.join(main, "bucket").where("c <> main").select("bucket", "node", "n", "c"), "outside")
-    a, b = mixed.alias("a"), rows.join(main, "bucket").alias("b")
-    pairs = (
-        a.join(b, F.col("a.bucket") == F.col("b.bucket")).where("a.c <> b.c and (b.c = b.main or a.node > b.node)").where(close("a.n", "b.n"))
-        .select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
-        .join(_all(tested).select("u", "v"), ["u", "v"], "left_anti")
-    )
-    tested.append(written(_confirmed(written(pairs, "pairs"), sets, percent), "tested"))
-    return _all(tested).where("linked").select("u", "v")
+def _popular(buckets: DataFrame) -> DataFrame:
+    """(u, v): for each class the most popular one of its buckets, if that isn't itself.
 
+    A class's popularity is the sum of its buckets' sizes; of equal ones the smaller id counts more.
+    """
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"))
+    rank = buckets.join(sizes, "bucket").groupBy("node").agg(F.struct(F.sum("size").alias("p"), (-F.col("node")).alias("m")).alias("rank"))
+    best = buckets.join(rank, "node").groupBy("bucket").agg(F.max("rank").alias("rank"))
+    return buckets.join(best, "bucket").groupBy("node").agg((-F.max("rank")["m"]).alias("v")).where("node <> v").select(F.col("node").alias("u"), "v")
 
-def _all(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionAll(t)
-    return out
+
+def _linked_in(sets: list[np.ndarray], outside: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each set its place and those places ``outside`` that it is linked with.
+
+    Intersections are counted over a sorted list of the elements of the sets outside.
+    """
+    sizes = np.asarray([len(x) for x in sets])
+    elements = np.concatenate([sets[k] for k in outside])
+    owner = np.repeat(np.arange(len(outside)), sizes[outside])
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    for m, own in enumerate(sets):
+        low, high = np.searchsorted(elements, own, "left"), np.searchsorted(elements, own, "right")
+        n = high - low
+        hit = n > 0
+        low, n = low[hit], n[hit]
+        places = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+        inter = np.bincount(owner[places], minlength=len(outside))
+        found = outside[100 * inter >= percent * (sizes[m] + sizes[outside] - inter)]
+        yield m, found[found != m]
+
+
+def _compared(items: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that connect components within each task of items (a, b, i, j, node, c, outside, shingles)."""
+
+    def block(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        nodes, parent = [r[0] for r in rows], {r[1]: r[1] for r in rows}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        outside = np.flatnonzero([r[2] for r in rows])
+        if not len(outside):
+            return
+        for m, found in _linked_in([r[3] for r in rows], outside, percent):
+            for o in found.tolist():
+                x, y = root(rows[m][1]), root(rows[o][1])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    yield nodes[m], nodes[o]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def links():
+            found = [x for x in block(rows) if x[0] != x[1]]
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            for *now, node, c, out, data in zip(*(batch.column(k).to_pylist() for k in range(7)), batch.column(7)):
+                if now != key and rows:
+                    yield links()
+                key = now
+                rows.append((node, c, out, np.frombuffer(data.as_py(), np.uint64)))
+        if rows:
+            yield links()
+
+    key = ["a", "b", "i", "j"]
+    ordered = items.select(*key, "node", "c", "outside", "shingles").repartition(*key).sortWithinPartitions(*key, "node")
+    return ordered.mapInArrow(run, "u long, v long")
+
+
+def _links(buckets: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (u, v) that connect whatever is connected; u > v. sizes: (node, n)."""
+    stars = written(_popular(buckets), "stars")
+    near = stars.join(sizes.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
+    # sizes alone forbid a link unless one is within the percentage of the other
+    near = near.where(F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")).select("u", "v")
+    first = written(_confirmed(near, sets, percent).where("linked").select("u", "v"), "links")
+    labels, clusters = components(first), components(stars).withColumnRenamed("component", "cluster")
+    known = written(buckets.select("node").distinct().join(labels, "node", "left").join(clusters, "node", "left")
+                    .join(sizes, "node").select("node", "n", F.coalesce("component", "node").alias("c"), F.coalesce("cluster", "node").alias("cluster")), "labels")
+    rows = buckets.join(known, "node")
+    mixed = rows.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket")
+    rows = written(rows.join(mixed, "bucket").select("bucket", "node", "n", "c", "cluster"), "mixed")
+    # clusters that meet in a bucket, each with itself too; nearly always a bucket lies in one
+    own = rows.select("bucket", "cluster").distinct()
+    meet = own.withColumnRenamed("cluster", "a").join(own.withColumnRenamed("cluster", "b"), "bucket").where("a <= b")
+    sides = meet.select("bucket", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("cluster"))
+    members = written(rows.join(sides, ["bucket", "cluster"]).select("a", "b", "node", "n", "c").distinct(), "members")
+    counts = members.groupBy("a", "b", "c").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    main = counts.groupBy("a", "b").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("main"), F.sum("k").alias("k"), F.sum("s").alias("s"), F.max("k").alias("mk"), F.max_by("s", F.struct("k", -F.col("c"))).alias("ms"))
+    blocks = lambda k, s, most: F.greatest(F.ceil(k / most), F.ceil(s / SHINGLES), F.lit(1)).cast("int")
+    plan = main.where("k > mk").select("a", "b", "main", blocks(F.col("k") - F.col("mk"), F.col("s") - F.col("ms"), OUTSIDE).alias("ni"), blocks(F.col("k"), F.col("s"), ALL).alias("nj"))
+    placed = members.join(plan, ["a", "b"]).withColumn("out", F.col("c") != F.col("main"))
+    at = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # block i of those outside meets block j of all; a class outside may come to a task as both
+    as_all = placed.select("a", "b", F.explode(every("ni")).alias("i"), at("nj", 2).alias("j"), "node", "c", F.lit(False).alias("outside"))
+    as_out = placed.where("out").withColumn("i", at("ni", 1)).select("a", "b", "i", F.explode(every("nj")).alias("j"), "node", "c", F.lit(True).alias("outside"))
+    items = as_all.unionAll(as_out).groupBy("a", "b", "i", "j", "node", "c").agg(F.max("outside").alias("outside"))
+    return written(first.unionAll(_compared(items.join(sets, "node"), percent)), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; linked: 100 * intersection >= percent * union."""
     docs = documents_of(docs)
     signed = written(_signed(docs, shingle), "signed")
-    classes = written(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    buckets = written(_shared_buckets(signed, classes, percent), "buckets")
+    classes = written(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), "classes")
+    buckets = written(_shared_buckets(signed, classes.select("digest", "node")), "buckets")
     sets = written(_sets_of(docs, buckets.select("node").distinct(), shingle), "sets")
-    found = components(_links(buckets, sets, percent))
+    found = components(_links(buckets, classes.groupBy("node").agg(F.max("n").alias("n")), sets, percent))
     return (
-        signed.select("doc_id", "n", "digest").join(classes, "digest", "left").join(found, "node", "left")
+        signed.select("doc_id", "n", "digest").join(classes.select("digest", "node"), "digest", "left").join(found, "node", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
