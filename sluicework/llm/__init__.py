@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles as _oracles
 from . import queries as _queries
 
 
@@ -10,4 +11,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(getattr(_queries, "ORACLE_SQL", {}))
+    """Of those queries that SQL can express; the others are tested by brute force in tests/llm."""
+    return {
+        "op6_url_ngram_model": _oracles.url_sql(_queries.URL_RULES, _oracles.url_weights()),
+        "op7_minmax_near_duplicates": _oracles.NEAR_DUPLICATES,
+    }

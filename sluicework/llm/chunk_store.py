@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_of
+from .common import claim, documents_of
 from .vocabulary import piece_encoder
 
 #: Ids that the rolling hash sees; ids of a chunk on average, at least and at most.
@@ -111,6 +111,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) ->
     end = np.asarray([end_id], "<u4").tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("encoding", piece_encoder.cache_clear)
         encoder, seen = piece_encoder(tokenizer_path), set()
         width = "<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         names = [x.split()[0] for x in OBJECTS.split(", ")]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import claim, written
 from .vocabulary import piece_encoder
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\v\f\r"
@@ -93,6 +93,8 @@ def measures(docs: DataFrame, piece_path: str, byte_path: str) -> DataFrame:
     """SCHEMA of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("encoding", piece_encoder.cache_clear, beside=("fertility",))
+        claim("fertility", pieces.cache_clear, beside=("encoding",))
         table, encoder = pieces(piece_path), piece_encoder(byte_path)
         get, fallback = table.__getitem__, table.fallback
         names = [x.split()[0] for x in SCHEMA.split(", ")]

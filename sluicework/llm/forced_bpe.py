@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import documents_of
+from .common import claim, documents_of
 from .vocabulary import BLANKS, KEPT, PIECE, Irregular
 
 #: The pre-tokenizer of byte-level vocabularies.
@@ -164,6 +164,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("forced", forced_bpe.cache_clear)
         bpe = forced_bpe(tokenizer_path)
         for batch in batches:
             ids = [bpe.encode(t).astype(np.int32) for t in batch.column(1).to_pylist()]
@@ -176,6 +177,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, text) of ``encode``'s rows; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("forced", forced_bpe.cache_clear)
         bpe = forced_bpe(tokenizer_path)
         for batch in batches:
             text = [bpe.decode(ids or []) for ids in batch.column(1).to_pylist()]
@@ -188,6 +190,7 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Per document the number of ids and SHA-256 of the ids and of the text decoded from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("forced", forced_bpe.cache_clear)
         bpe = forced_bpe(tokenizer_path)
         for batch in batches:
             counts, of_ids, of_text = [], [], []

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, fold, labelled_sample
+from .common import claim, documents_of, fold, labelled_sample
 
 PER_CLASS, PAIRS, CUT = 4000, 40_000, 0.7
 #: Marks whose shares of the bytes are features.
@@ -144,6 +144,7 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value
+        claim("quality")
         for batch in batches:
             f = np.asarray([features_of(t.as_py()) for t in batch.column(1)]).reshape(batch.num_rows, len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(r.score(f), pa.float64())], names=["doc_id", "score"])
@@ -161,6 +162,7 @@ def keep(docs: DataFrame, ranker: Ranker) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        claim("quality")
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             f = np.asarray([features_of(t.as_py() or '') for t in texts]).reshape(batch.num_rows, len(NAMES))

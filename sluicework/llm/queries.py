@@ -40,7 +40,8 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 def op6_url_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = url_model.train(url_model.labelled_table(spark))
-    return url_model.judge(read_table(spark, sf_dir, "pages"), URL_RULES, weights)
+    judged = url_model.judge(read_table(spark, sf_dir, "pages"), URL_RULES, weights)
+    return judged.withColumn("block_score", F.round("block_score", 6))
 
 
 def op7_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import documents_of
+from .common import claim, documents_of
 from .vocabulary import piece_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -126,6 +126,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("encoding", piece_encoder.cache_clear)
         encoder, rows = piece_encoder(tokenizer_path), []
         context = TaskContext.get()
         packer = Packer(capacity, (context.partitionId() if context else 0) * PER_TASK, rows.append)

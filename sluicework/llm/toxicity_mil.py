@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, fold, labelled_sample
+from .common import claim, documents_of, fold, labelled_sample
 
 PER_CLASS, FEATURES, BAG = 3000, 4096, 400
 #: N-gram lengths; a word's edges are marked. Buckets of the n-grams' hashes.
@@ -39,7 +39,7 @@ SIZES, BUCKETS = (4, 5, 6), 1 << 22
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Distinct words whose weight one worker remembers.
-KEPT = 400_000
+KEPT = 250_000
 
 
 def grams_of(word: str) -> set[int]:
@@ -192,6 +192,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        claim("toxicity", m.words.clear)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.document(t.as_py()) for t in batch.column(1)], pa.float64())], names=["doc_id", "score"])
 
@@ -205,6 +206,7 @@ def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.3) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        claim("toxicity", m.words.clear)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -230,6 +232,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        claim("toxicity", m.words.clear)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             stay = [m.document(t.as_py() or '') < threshold for t in texts]
