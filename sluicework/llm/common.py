@@ -7,10 +7,14 @@ Everything that outlives one task is kept in the folder that the session names i
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,11 +64,18 @@ def claim(name: str, *drop, beside: tuple[str, ...] = ()) -> None:
     """What a Python worker remembers for other operators is dropped: a worker outlives many stages.
 
     ``drop`` are calls that free this operator's own memory, once another one claims the worker.
+    Buffers of earlier tasks' batches go back to the system as well, which Arrow would keep.
     """
-    for other in [n for n in _held if n != name and n not in beside]:
+    others = [n for n in _held if n != name and n not in beside]
+    for other in others:
         for free in _held.pop(other):
             free()
     _held[name] = drop
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
 
 
 def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

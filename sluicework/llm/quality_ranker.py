@@ -94,6 +94,7 @@ class Ranker:
 
 def _vectors(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([features_of(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64()))], names=["doc_id", "y", "f"])
 

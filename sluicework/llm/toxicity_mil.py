@@ -98,6 +98,7 @@ def gram_counts(sample: DataFrame) -> DataFrame:
     """(gram, y, n): documents of each class that hold an n-gram; summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity training")
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         cache: dict[str, set[int]] = {}
         for batch in batches:
@@ -135,6 +136,7 @@ def train(labels: DataFrame, docs: DataFrame, label: str = "toxic", per_class: i
     index = {g: k for k, g in enumerate(grams)}
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity training")
         cache: dict[str, list[int]] = {}
         for batch in batches:
             out = []
