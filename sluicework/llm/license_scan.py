@@ -119,6 +119,7 @@ class Scanner:
         self.templates = [Words(templates[n]) for n in self.names]
         if sum(len(t.words) for t in self.templates) > MOST_TEMPLATES:
             raise ValueError(f"more than {MOST_TEMPLATES} words of templates")
+        self.bands = [min(BAND, max(len(t.words) - 1, 0)) for t in self.templates]
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, t in enumerate(self.templates):
             for h, at in zip(*map(np.ndarray.tolist, winnow(t.chars))):
@@ -138,9 +139,9 @@ class Scanner:
                 starts[k].add(w - v)
         out = set()
         for k, found in starts.items():
-            last = None
+            last, near = None, self.bands[k] // 2
             for s in sorted(found):
-                if last is None or s - last > BAND // 2:
+                if last is None or s - last > near:
                     out.add((k, s))
                     last = s
         return out
@@ -149,7 +150,7 @@ class Scanner:
         words = Words(text)
         matches = []
         for k, start in self.candidates(words):
-            n, first, last = align(self.templates[k].words, words.words, start, BAND)
+            n, first, last = align(self.templates[k].words, words.words, start, self.bands[k])
             share = n / len(self.templates[k].words)
             if share >= coverage:
                 matches.append((self.names[k], share, words.spans[first][0], words.spans[last][1], n))
