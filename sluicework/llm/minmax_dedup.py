@@ -362,6 +362,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     may hold are joined with the ids themselves.
     """
     found = near_duplicates(docs, shingle, percent)
+    taken = {c.lower() for c in docs.columns}
+    node, mark = (next(x for x in (name + "_" * k for k in range(len(taken) + 1)) if x not in taken) for name in ("node", "bit"))
     dropped = written(found.where("not kept").select(F.col("doc_id").alias("node")).distinct(), "dropped")
     bits = docs.sparkSession.sparkContext.broadcast(_bits(dropped))  # BITMAP / 8 bytes
 
@@ -373,8 +375,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
                 on = (bits.value[bit >> 6] >> (bit & 63) & 1) == held
                 yield batch.select(range(batch.num_columns - 1)).filter(pa.array(on))
 
-        # the bit's column comes last, and is told by its place: any name may be taken
-        return docs.select("*", F.pmod(F.xxhash64(docs["doc_id"].cast("long")), F.lit(BITMAP)).alias("bit")).mapInArrow(run, docs.schema)
+        return docs.select("*", F.pmod(F.xxhash64(docs["doc_id"].cast("long")), F.lit(BITMAP)).alias(mark)).mapInArrow(run, docs.schema)
 
-    maybe = part(True).join(dropped, F.col("doc_id").cast("long") == F.col("node"), "left_anti")
+    maybe = part(True).join(dropped.withColumnRenamed("node", node), F.col("doc_id").cast("long") == F.col(node), "left_anti")
     return part(False).unionAll(maybe)
