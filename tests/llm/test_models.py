@@ -192,3 +192,12 @@ def test_fertility_bands(spark):
     assert got[0].chars_per_piece == pytest.approx(sum(map(len, words)) / len(ids))
     assert got[0].fallback_share == pytest.approx(sum(map(sp.IsByte, ids)) / len(ids))
     assert fertility.script_of("Привет мир") == "Cyrillic" and fertility.script_of("123") == "None"
+
+
+def test_bands_reject_bad_documents_that_were_held_out(spark):
+    """Of those that pass the base rules, whose labels did not set the fences."""
+    y = {k: v for k, v in duckdb.sql(f"SELECT doc_id, max(quality) FROM '{LABELLED}/labels.parquet' WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY 1").fetchall() if crc32(str(k).encode()) % 4 == 2}
+    docs = spark.read.parquet(f"{LABELLED}/documents.parquet")
+    got = fertility.counts_and_verdicts(docs, public_path(PIECE_BPE), public_path(BYTE_BPE)).where("not base_failed").select("doc_id", "kept").collect()
+    bad, good = ([not r.kept for r in got if y.get(r.doc_id) == k] for k in (0, 1))
+    assert sum(bad) >= 0.6 * len(bad) > 0 and sum(good) <= 0.02 * len(good)
