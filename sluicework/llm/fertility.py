@@ -6,7 +6,8 @@ tokens can have. Texts that pass the base rules set rejection bands for their la
 script that most of their letters have, where no language is given): fences as far outside the
 quartiles as ``SPREAD`` times the distance between them, computed over all such documents, and
 farther for texts of under ``SETTLED`` words, whose measures vary more.
-Languages with under ``FEW`` documents use the bands of all documents together.
+A language is judged by its own quartiles, however few its documents; the distance between them is
+drawn towards the mean one within all languages, which weighs as much as ``FEW`` documents.
 
 One pass reads the texts; its rows of numbers are kept as a table in the shared folder, from which
 the bands are made and the verdicts given. No text is shuffled.
@@ -123,13 +124,16 @@ def measures(docs: DataFrame, piece_path: str, byte_path: str) -> DataFrame:
 
 
 def bands(measured: DataFrame, spread: float = SPREAD) -> DataFrame:
-    """Per language, and for '*' all together: the quartiles of each measure, and how far outside them is kept."""
+    """Per language: the quartiles of each measure, and how far outside them is kept."""
     good = measured.where("not base_failed")
-    both = good.withColumn("group", F.explode(F.array(F.col("language"), F.lit("*"))))
-    wide = both.groupBy("group").agg(F.count("*").alias("n"), *(F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), 10000).alias(m) for m in MEASURES))
+    wide = good.groupBy("language").agg(F.count("chars_per_piece").alias("n"), *(F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), 10000).alias(m) for m in MEASURES))
+    own = written(wide.select("language", "n", *(x for m in MEASURES for x in (F.col(m)[0].alias(f"q1_{m}"), F.col(m)[1].alias(f"q3_{m}"), (F.col(m)[1] - F.col(m)[0]).alias(f"own_{m}")))), "quartiles")
+    # the distance within languages, not that of all documents together, which holds their differences too
+    degrees = F.greatest(F.col("n") - 1, F.lit(0))
+    pooled = own.agg(*(F.coalesce(F.sum(degrees * F.col(f"own_{m}")) / F.nullif(F.sum(degrees), F.lit(0)), F.lit(0.0)).alias(f"pool_{m}") for m in MEASURES))
     # a share that hardly varies gets a hundredth on either side at least
-    out = wide.select("group", "n", *(x for m in MEASURES for x in (F.col(m)[0].alias(f"q1_{m}"), F.col(m)[1].alias(f"q3_{m}"), (spread * (F.col(m)[1] - F.col(m)[0]) + 0.01).alias(f"span_{m}"))))
-    return out.where((F.col("n") >= FEW) | (F.col("group") == "*"))
+    span = lambda m: spread * (F.col("n") * F.col(f"own_{m}") + FEW * F.col(f"pool_{m}")) / (F.col("n") + FEW) + 0.01
+    return own.crossJoin(F.broadcast(pooled)).select("language", "n", *(x for m in MEASURES for x in (f"q1_{m}", f"q3_{m}", span(m).alias(f"span_{m}"))))
 
 
 def judge(docs: DataFrame, piece_path: str, byte_path: str) -> DataFrame:
@@ -137,8 +141,6 @@ def judge(docs: DataFrame, piece_path: str, byte_path: str) -> DataFrame:
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     measured = written(measures(docs, piece_path, byte_path).withColumn("base_failed", failed), "fertility")
     limits = written(bands(measured), "bands")  # a row for each language
-    known = limits.select(F.col("group").alias("language"), F.lit(True).alias("known"))
-    keyed = measured.join(known, "language", "left").withColumn("group", F.when(F.col("known"), F.col("language")).otherwise("*")).drop("known")
     # short texts vary more: the fences stand off by the square root of what they lack in words
     wide = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(SETTLED)) / F.greatest(F.col("n_words"), F.lit(1))))
     inside = F.lit(True)
@@ -147,7 +149,7 @@ def judge(docs: DataFrame, piece_path: str, byte_path: str) -> DataFrame:
             inside &= F.coalesce(F.col(m) >= F.col(f"q1_{m}") - wide * F.col(f"span_{m}"), F.lit(True))
         if high:
             inside &= F.coalesce(F.col(m) <= F.col(f"q3_{m}") + wide * F.col(f"span_{m}"), F.lit(True))
-    return keyed.join(limits, "group", "left").withColumn("kept", ~F.col("base_failed") & inside)
+    return measured.join(limits, "language", "left").withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def counts_and_verdicts(docs: DataFrame, piece_path: str, byte_path: str) -> DataFrame:

@@ -201,3 +201,24 @@ def test_bands_reject_bad_documents_that_were_held_out(spark):
     got = fertility.counts_and_verdicts(docs, public_path(PIECE_BPE), public_path(BYTE_BPE)).where("not base_failed").select("doc_id", "kept").collect()
     bad, good = ([not r.kept for r in got if y.get(r.doc_id) == k] for k in (0, 1))
     assert sum(bad) >= 0.6 * len(bad) > 0 and sum(good) <= 0.02 * len(good)
+
+
+@pytest.mark.parametrize("few", [1, 4, 20, 49, 50])
+def test_small_language_is_judged_by_its_own_measures(spark, few):
+    """Beside a dominant language, clean documents of another one stay, whether 49 or 50."""
+    pick = "SELECT text FROM '{0}/documents.parquet' JOIN '{0}/labels.parquet' USING (doc_id) WHERE lang = '{1}' AND quality = 1 AND n_chars BETWEEN 1200 AND 9000 ORDER BY doc_id LIMIT {2}"
+    rows = [(t, lang) for lang, n in (("en", 300), ("es", few)) for (t,) in duckdb.sql(pick.format(LABELLED, lang, n)).fetchall()]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    got = [r.kept for r in fertility.counts_and_verdicts(docs, public_path(PIECE_BPE), public_path(BYTE_BPE)).where("not base_failed").orderBy("doc_id").collect() if r.doc_id >= 300]
+    assert len(got) >= 0.9 * few and sum(got) >= 0.9 * len(got)
+
+
+def test_verdicts_do_not_turn_at_a_group_size(spark):
+    """The same documents, with 49 and with 50 of their language."""
+    pick = "SELECT text FROM '{0}/documents.parquet' JOIN '{0}/labels.parquet' USING (doc_id) WHERE lang = '{1}' AND quality = 1 AND n_chars BETWEEN 1200 AND 9000 ORDER BY doc_id LIMIT {2}"
+    found = {}
+    for few in (49, 50):
+        rows = [(t, lang) for lang, n in (("en", 300), ("es", few)) for (t,) in duckdb.sql(pick.format(LABELLED, lang, n)).fetchall()]
+        docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+        found[few] = {r.doc_id: r.kept for r in fertility.counts_and_verdicts(docs, public_path(PIECE_BPE), public_path(BYTE_BPE)).collect()}
+    assert sum(found[49][k] != found[50][k] for k in found[49]) <= 1
