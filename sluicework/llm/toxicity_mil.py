@@ -9,8 +9,8 @@ Training: at most ``PER_CLASS`` labelled documents of each class (chosen by a ha
 never from the held-out fold). Executors count in how many documents of each class each n-gram
 occurs; the ``FEATURES`` with the highest likelihood ratio that lean to the toxic class become
 features. Sentences without any of them carry no evidence and have probability 0. What reaches
-the driver is bounded: FEATURES n-grams, and for each sampled document its distinct sentences
-as lists of feature numbers, at most ``BAG`` of them. Scoring runs over all whole texts.
+the driver is FEATURES n-grams, and for each sampled document all its distinct sentences as
+lists of feature numbers. Scoring runs over all whole texts.
 
 Edge cases: null and empty texts score 0; without any label of either class, nothing can be
 learned and all score 0; repeated rows are scored each; a label of a missing document is not
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import claim, documents_of, fold, labelled_sample
 
-PER_CLASS, FEATURES, BAG = 3000, 4096, 400
+PER_CLASS, FEATURES = 3000, 4096
 #: N-gram lengths; a word's edges are marked. Buckets of the n-grams' hashes.
 SIZES, BUCKETS = (4, 5, 6), 1 << 22
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -152,7 +152,7 @@ def train(labels: DataFrame, docs: DataFrame, label: str = "toxic", per_class: i
                         hit += g
                     if hit:
                         bag.add(tuple(sorted(hit)))
-                out.append([list(x) for x in sorted(bag)[:BAG]])
+                out.append([list(x) for x in sorted(bag)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "y", "bag"])
 
     rows = sorted(((r.doc_id, r.y, r.bag) for r in sample.select("doc_id", "text", "y").mapInArrow(bags, "doc_id long, y int, bag array<array<int>>").collect()), key=lambda r: (r[0], r[2]))

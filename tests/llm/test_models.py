@@ -222,3 +222,13 @@ def test_verdicts_do_not_turn_at_a_group_size(spark):
         docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
         found[few] = {r.doc_id: r.kept for r in fertility.counts_and_verdicts(docs, public_path(PIECE_BPE), public_path(BYTE_BPE)).collect()}
     assert sum(found[49][k] != found[50][k] for k in found[49]) <= 1
+
+
+def test_long_bags_keep_all_their_sentences(spark, monkeypatch):
+    rng, seen = random.Random(8), []
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(450)]
+    bad, good = "".join(f"{w}. " for w in dict.fromkeys(words)), "Quiet morning. River stones."
+    monkeypatch.setattr(toxicity_mil, "fit", lambda rows, n, *a: (seen.extend(rows), (np.zeros(n), 0.0))[1])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, toxic int")
+    toxicity_mil.train(labels, table(spark, [(k, bad if k % 2 else good) for k in range(80)]))
+    assert {len(bag) for _, y, bag in seen if y} == {len(set(words))}
