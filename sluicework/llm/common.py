@@ -88,12 +88,11 @@ def fold(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def labelled_sample(labels: DataFrame, docs: DataFrame, label: str, per_class: int) -> tuple[DataFrame, list[int]]:
-    """A bounded training sample of labelled documents, and how many rows of each class there were.
+def labelled_rows(labels: DataFrame, docs: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of every labelled document outside the held-out fold, as a written table.
 
-    At most ``per_class`` rows of each class, chosen by a hash of the id, outside the held-out
-    fold. Rows without id or label, or whose document is gone, take no part; a document that is
-    labelled several times counts once, by its highest label. Returns (doc_id, text, y).
+    Rows without id or label, or whose document is gone, take no part; a document that is labelled
+    several times counts once, by its highest label.
     """
     d = documents_of(docs)
     rows = (
@@ -102,10 +101,17 @@ def labelled_sample(labels: DataFrame, docs: DataFrame, label: str, per_class: i
         .where(fold() != 2)
         .join(d.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
     )
-    rows = written(rows, "labels")
+    return written(rows, "labels")
+
+
+def labelled_sample(rows: DataFrame, docs: DataFrame, per_class: int) -> tuple[DataFrame, list[int]]:
+    """A bounded training sample of ``labelled_rows``, and how many rows of each class there were.
+
+    At most ``per_class`` rows of each class, chosen by a hash of the id. Returns (doc_id, text, y).
+    """
     counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     top = [rows.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
     # at most 2 * per_class rows of two numbers: a proven bound
-    sample = d.join(F.broadcast(top[0].unionAll(top[1])), "doc_id")
+    sample = documents_of(docs).join(F.broadcast(top[0].unionAll(top[1])), "doc_id")
     return sample, [counts.get(0, 0), counts.get(1, 0)]

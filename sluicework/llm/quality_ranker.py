@@ -3,12 +3,13 @@
 Documents are compared in pairs: that one labelled good beats one labelled bad with probability
 sigmoid(w . (f_good - f_bad)), f being statistics of the whole text. w is fitted by the logistic
 loss over feature differences; w . f then ranks any document. The cut is a quantile of the scores
-of the labelled sample: the share of bad labels in the whole training fold. Scores are reported
+of the whole labelled training fold: the share of bad labels in it. Scores are reported
 as a logistic function of the distance to that cut, which itself gets ``CUT``.
 
 Training reads at most ``PER_CLASS`` labelled documents of each class (chosen by a hash of the
 id, never from the held-out fold) and ``PAIRS`` pairs of them; only their feature vectors reach
-the driver. Scoring runs over all whole texts in one pass without a shuffle.
+the driver. The cut takes another pass over all texts, of which only the labelled documents'
+scores are shuffled. Scoring runs over all whole texts in one pass without a shuffle.
 
 Edge cases: null and empty texts have all features 0 and are scored as such; without labels of
 both classes nothing can be learned and all documents score ``CUT``, so none is rejected;
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, documents_of, fold, labelled_sample
+from .common import claim, documents_of, fold, labelled_rows, labelled_sample
 
 PER_CLASS, PAIRS, CUT = 4000, 40_000, 0.7
 #: Marks whose shares of the bytes are features.
@@ -102,7 +103,8 @@ def _vectors(sample: DataFrame) -> DataFrame:
 
 
 def train(labels: DataFrame, docs: DataFrame, label: str = "quality", per_class: int = PER_CLASS, pairs: int = PAIRS) -> Ranker:
-    sample, found = labelled_sample(labels, docs, label, per_class)
+    labelled = labelled_rows(labels, docs, label)
+    sample, found = labelled_sample(labelled, docs, per_class)
     rows = sorted((r.doc_id, r.y, r.f) for r in _vectors(sample).collect()) if all(found) else []
     f, y = np.asarray([r[2] for r in rows]).reshape(len(rows), len(NAMES)), np.asarray([r[1] for r in rows])
     if not rows or y.min() == y.max():
@@ -113,7 +115,7 @@ def train(labels: DataFrame, docs: DataFrame, label: str = "quality", per_class:
     ranker = Ranker(mean, np.where(scale > 1e-9, scale, 1.0), np.zeros(f.shape[1]), 0.0)
     z = np.clip((f - ranker.mean) / ranker.scale, -8, 8)
     ranker.weights = fit_pairs(z[y == 1], z[y == 0], pairs)
-    ranker.cut = cut_at(z @ ranker.weights, share, found[0] / sum(found))
+    ranker.cut = cut_of(margins(docs, ranker).join(labelled, "doc_id"), *found)
     return ranker
 
 
@@ -139,6 +141,28 @@ def cut_at(margins: np.ndarray, share: np.ndarray, q: float) -> float:
     return float((margins[order[k]] + margins[order[nxt]]) / 2)
 
 
+def cut_of(scored: DataFrame, bad: int, good: int) -> float:
+    """``cut_at`` the share of bad ones, over a table of margins: each document once, repeats by their mean."""
+    n = bad + good
+    ranks = [float((k - 0.5) / n) for k in (bad, min(bad + 1, n))]
+    found = scored.groupBy("doc_id").agg(F.avg("margin").alias("margin")).agg(F.percentile_approx("margin", F.array(*map(F.lit, ranks)), 100_000))
+    return float(sum(found.first()[0]) / 2)
+
+
+def margins(docs: DataFrame, ranker: Ranker) -> DataFrame:
+    """(doc_id, margin) of every whole text."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranker)  # four short vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = shared.value
+        claim("quality")
+        for batch in batches:
+            f = np.asarray([features_of(t.as_py()) for t in batch.column(1)]).reshape(batch.num_rows, len(NAMES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(r.margin(f), pa.float64())], names=["doc_id", "margin"])
+
+    return documents_of(docs).mapInArrow(run, "doc_id long, margin double")
+
+
 def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(ranker)  # four short vectors

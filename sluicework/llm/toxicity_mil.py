@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, documents_of, fold, labelled_sample
+from .common import claim, documents_of, fold, labelled_rows, labelled_sample
 
 PER_CLASS, FEATURES = 3000, 4096
 #: N-gram lengths; a word's edges are marked. Buckets of the n-grams' hashes.
@@ -118,7 +118,7 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 
 
 def train(labels: DataFrame, docs: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, features: int = FEATURES) -> Model:
-    sample, found = labelled_sample(labels, docs, label, per_class)
+    sample, found = labelled_sample(labelled_rows(labels, docs, label), docs, per_class)
     if not all(found):
         return Model({}, 0.0)
     n0, n1 = (float(min(n, per_class)) for n in found)

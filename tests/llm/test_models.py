@@ -232,3 +232,16 @@ def test_long_bags_keep_all_their_sentences(spark, monkeypatch):
     labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, toxic int")
     toxicity_mil.train(labels, table(spark, [(k, bad if k % 2 else good) for k in range(80)]))
     assert {len(bag) for _, y, bag in seen if y} == {len(set(words))}
+
+
+def test_cut_is_of_the_whole_training_fold(spark):
+    """Also where the model is fitted on a small sample of it: as many lie below the cut as are bad."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    ranker = quality_ranker.train(labels, docs, per_class=30)
+    y = {r.doc_id: r.quality for r in labels.collect() if crc32(str(r.doc_id).encode()) % 4 != 2}
+    rows = [(r.doc_id, r.predicted) for r in quality_ranker.score(docs, ranker).collect() if r.doc_id in y]
+    bad = sum(y[k] == 0 for k, _ in rows)
+    assert 60 < len(rows) and abs(sum(p == 0 for _, p in rows) - bad) <= 1  # equal texts may tie
+    z = np.random.default_rng(3).normal(0, 1, 501)
+    table_ = spark.createDataFrame([(k, float(v)) for k, v in enumerate(z)], "doc_id long, margin double")
+    assert quality_ranker.cut_of(table_, 120, 381) == pytest.approx(quality_ranker.cut_at(z, np.ones(501), 120 / 501))
