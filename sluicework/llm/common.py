@@ -57,6 +57,23 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Tables that one call writes below the shared folder and deletes as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        path = fresh_path(self.spark, label)
+        out = written(df, label, path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            remove_path(self.spark, self.paths.pop(id(table))[1])
+
+
 _held: dict[str, tuple] = {}
 
 

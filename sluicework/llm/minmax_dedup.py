@@ -4,27 +4,29 @@
    digest, and a signature: under each of ``PERMUTATIONS`` permutations both the minimum and the
    maximum are kept, so half the hash evaluations give a signature of twice the length. The
    values are banded; ``ROWS`` of them make a band.
-2. Equal digests are one class (exact copies never meet again as pairs). Bands are dealt by
+2. Equal digests are one class (exact copies never meet again as pairs). Band values are dealt by
    value and sorted; buckets of one class are dropped as they stream by.
-3. Links are confirmed by the sets themselves. First each class meets one other: of the classes
-   in its buckets the most popular one, which shares most buckets with any. That costs one pair a
-   class, however large a group of near copies is, and ties the classes into clusters. Classes
-   that share a bucket and are still unconnected are then compared in full: within a cluster
-   (or two that meet in a bucket) those outside its largest component with all others, block by
-   block in separate tasks, each of bounded size. A block returns links that connect something,
-   never pairs. No cap is set on buckets, partners or clusters.
+3. Classes that buckets tie together are a cluster. Links are confirmed by the sets themselves,
+   never by signatures. A cluster that fits into one task is compared there at once. In a larger
+   one each class first meets one other, the most popular one of its buckets, which shares most
+   buckets with any: one pair a class, however large a group of near copies is. Then, wherever a
+   bucket still holds unconnected classes, those outside its largest component are compared with
+   all others, block by block in separate tasks, each of bounded size: by bucket, or over the whole
+   cluster where its buckets overlap so much that this moves fewer sets. A block returns links that
+   connect something, never pairs. No cap is set on buckets, partners or clusters.
 4. Components of the confirmed links give each document its class's smallest doc_id.
 
 With the default 54 bands of 6 values a pair at similarity 0.8 shares no bucket with probability
 (1 - 0.8^6)^54, 8 in 10^8, and less above.
 
 The sets are made again from the texts of those classes that share a bucket with another one;
-a bitmap of fixed size picks them while the texts are read, so texts are never shuffled.
+a bitmap of fixed size picks them while the texts are read, so texts are never shuffled. Tables of
+the way are deleted as soon as they have been read.
 
 Edge cases: texts with fewer words than a shingle are one shingle; null or empty texts, or such
 without words, have no shingle and are linked with nothing; rows without doc_id are linked with
-nothing and kept; rows that share a doc_id count as one document with several texts, each row
-returned; other columns are not read.
+nothing and kept; rows that share a doc_id count as one document with several texts, linked with
+whatever any of them is, and each row is returned; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,10 +38,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, documents_of, written
+from .common import Scratch, claim, documents_of, written
 from .components import components
 
 BANDS, ROWS = 54, 6
@@ -48,10 +50,11 @@ PERMUTATIONS = BANDS * ROWS // 2
 BLOCK = 4096
 #: Words whose hash a worker keeps. Bits of the bitmap of classes (a fixed size: 4 MB).
 KEPT, BITMAP = 250_000, 1 << 25
-#: Pairs that one key may gather in a join; above it, the key is dealt over several.
-FAN = 2000
-#: Classes, and shingles of them, in a block of those outside the largest component and of all.
-OUTSIDE, ALL, SHINGLES = 256, 1024, 500_000
+#: Classes of a star that one task compares with its centre.
+FAN = 128
+#: Classes, and shingles of them, in a cluster that one task compares; in a block of those outside
+#: the largest component; and in a block of all.
+SMALL, OUTSIDE, ALL, SHINGLES = 192, 128, 256, 250_000
 
 
 class _Hashes(dict):
@@ -122,59 +125,66 @@ def band_values(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, digest, bands) of every row; bands are null where the task has had the digest before."""
+    """(doc_id, n, digest, tag, bands) of every row; bands are null where the task has had the digest before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near duplicates", _hashes.clear)
         seen = set()
         for batch in batches:
-            n, digests, bands = [], [], []
+            n, digests, tags, bands = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle_set(text.as_py(), size)
                 n.append(len(s))
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) and doc_id is not None else None
                 digests.append(digest)
+                tags.append(None if digest is None else int.from_bytes(digest[:4], "little", signed=True))
                 if digest is None or digest in seen:
                     bands.append(None)
                 else:
                     seen.add(digest)
                     bands.append(band_values(signature(s)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "bands"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(tags, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "tag", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, tag int, bands array<long>")
 
 
-def _shared_buckets(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """(bucket, node) of the buckets that hold two classes or more.
+def _shared_buckets(signed: DataFrame) -> DataFrame:
+    """(bucket, doc_id, first) of the buckets that hold two classes or more, a document of each class.
 
-    Rows come sorted by bucket, so a task holds no more than one batch, and whether the row before
-    it has been passed on.
+    ``first`` is the same one of them in every row of a bucket. Classes are told apart by 32 bits of
+    their digest. Rows come sorted by bucket and tag, so a task holds no more than one batch, the
+    last class before it with its bucket's first one, and whether it has been passed on.
     """
-    rows = signed.where("bands is not null").join(classes, "digest").select("node", F.explode("bands").alias("bucket"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near duplicates", _hashes.clear)
-        last, passed = None, False  # the row before the batch
+        held, passed, head = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)], False, 0
         for batch in batches:
-            b, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if last is not None:
-                b, v = np.concatenate([[last[0]], b]), np.concatenate([[last[1]], v])
-            same = b[1:] == b[:-1]
-            again = same & (v[1:] == v[:-1])  # a class that two tasks have sent
-            met = same & ~again
+            if not batch.num_rows:
+                continue
+            rows = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+            new = np.ones(len(rows[0]), bool)
+            new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+            b, tag, doc = (x[new] for x in rows)  # the first row of each class in a bucket
             keep = np.zeros(len(b), bool)
-            keep[1:] |= met
-            # a bucket's first class is passed on with its second, the last copy of its row
-            keep[:-1] |= met
-            start = 0 if last is None else 1
-            if last is not None and passed:
+            keep[1:] = b[1:] == b[:-1]
+            keep[:-1] |= keep[1:]
+            if len(held[0]) and passed:
                 keep[0] = False
-            inside = np.flatnonzero(keep)
-            last, passed = (b[-1], v[-1]), bool(keep[-1]) or (passed and bool(again[start - 1 :].all()) and len(b) > 1 and start == 1 and b[-1] == b[0] and v[-1] == v[0])
-            yield pa.RecordBatch.from_arrays([pa.array(b[inside], pa.int64()), pa.array(v[inside], pa.int64())], names=["bucket", "node"])
+            began = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))  # of each bucket
+            first = doc[began]
+            if len(held[0]):
+                first[0] = head
+            head = first[-1]
+            first = np.repeat(first, np.diff(began, append=len(b)))
+            # what has been passed on stays so while it is the last one
+            passed = bool(keep[-1]) or (passed and len(b) == 1)
+            held = [b[-1:], tag[-1:], doc[-1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()) for x in (b, doc, first)], names=["bucket", "doc_id", "first"])
 
-    ordered = rows.select("bucket", "node").repartition("bucket").sortWithinPartitions("bucket", "node")
-    return ordered.mapInArrow(run, "bucket long, node long")
+    rows = signed.where("bands is not null").select(F.explode("bands").alias("bucket"), "tag", "doc_id")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "tag", "doc_id").mapInArrow(run, "bucket long, doc_id long, first long")
 
 
 def _bits(ids: DataFrame) -> np.ndarray:
@@ -186,8 +196,24 @@ def _bits(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _packed(shingles: np.ndarray) -> bytes:
+    """A sorted set's hashes, of each the upper 48 bits: two sets of a million have one in common by chance in 280."""
+    return shingles.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpacked(data) -> np.ndarray:
+    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, 2:] = six
+    return out.view(np.uint64).ravel()
+
+
 def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the wanted classes, made from their smallest document's text."""
+    """(node, shingles) of the wanted classes, made from their smallest document's text.
+
+    Of a hundred other documents less than one comes along for every 300,000 wanted classes; joins
+    leave them out.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(_bits(nodes))  # BITMAP / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,39 +222,47 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             bit = batch.column(2).to_numpy()
             on = np.flatnonzero(bits.value[bit >> 6] >> (bit & 63) & 1)
             for part in np.array_split(on, len(on) // 500 + 1):
-                s = [shingle_set(batch.column(1)[int(k)].as_py(), size).tobytes() for k in part]
+                s = [_packed(shingle_set(batch.column(1)[int(k)].as_py(), size)) for k in part]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part)), pa.array(s, pa.binary())], names=["node", "shingles"])
 
     marked = docs.where("doc_id is not null").withColumn("bit", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(BITMAP)))
-    return marked.mapInArrow(run, "node long, shingles binary").join(nodes, "node", "left_semi")
+    return marked.mapInArrow(run, "node long, shingles binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v, linked) of every pair (u, v), by the sizes of the sets' intersection and union.
+def _linked_stars(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those links (u, v) of ``stars`` that the sets confirm; each u has one v.
 
-    A key with very many pairs is dealt over several parts, its set copied to each of them.
+    A centre v of very many u is dealt over several parts, its set copied to each of them.
     """
-    fan = lambda key: pairs.groupBy(key).agg(F.ceil(F.count("*") / FAN).cast("int").alias("parts"))
-
-    def with_set(rows: DataFrame, key: str, name: str) -> DataFrame:
-        parts = fan(key)
-        own = sets.withColumnRenamed("node", key).join(parts, key).select(key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias(name))
-        many = rows.join(parts.where("parts > 1"), key, "left")
-        return many.withColumn("part", F.coalesce(F.pmod(F.xxhash64("u", "v"), F.col("parts")).cast("int"), F.lit(0))).drop("parts").join(own, [key, "part"]).drop("part")
+    parts = stars.groupBy("v").agg(F.ceil(F.count("*") / FAN).cast("int").alias("parts"))
+    own = parts.select(F.col("v").alias("node"), F.col("v").alias("star"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("leaf"))
+    leaves = stars.join(parts, "v").select(F.col("u").alias("node"), F.col("v").alias("star"), F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("leaf"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near duplicates", _hashes.clear)
+        centre: tuple = (None, [])
         for batch in batches:
-            linked = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = np.concatenate([a, b])
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * inter >= percent * (len(both) - inter))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["u", "v", "linked"])
+            u, v = [], []
+            for node, star, part, leaf, data in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+                s = _unpacked(data.as_buffer())
+                if centre[0] != (star, part):
+                    centre = (star, part), []
+                if not leaf:
+                    centre[1].append(s)  # a document may have several texts
+                elif any(_similar(s, c, percent) for c in centre[1]):
+                    u.append(node)
+                    v.append(star)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    rows = own.unionAll(leaves).join(sets, "node").select("node", "star", "part", "leaf", "shingles")
+    return rows.repartition("star", "part").sortWithinPartitions("star", "part", "leaf", "node").mapInArrow(run, "u long, v long")
 
-    return with_set(with_set(pairs, "v", "b"), "u", "a").select("u", "v", "a", "b").mapInArrow(run, "u long, v long, linked boolean")
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    inter = int((both[1:] == both[:-1]).sum())
+    return 100 * inter >= percent * (len(both) - inter)
 
 
 def _popular(buckets: DataFrame) -> DataFrame:
@@ -236,10 +270,11 @@ def _popular(buckets: DataFrame) -> DataFrame:
 
     A class's popularity is the sum of its buckets' sizes; of equal ones the smaller id counts more.
     """
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"))
-    rank = buckets.join(sizes, "bucket").groupBy("node").agg(F.struct(F.sum("size").alias("p"), (-F.col("node")).alias("m")).alias("rank"))
-    best = buckets.join(rank, "node").groupBy("bucket").agg(F.max("rank").alias("rank"))
-    return buckets.join(best, "bucket").groupBy("node").agg((-F.max("rank")["m"]).alias("v")).where("node <> v").select(F.col("node").alias("u"), "v")
+    bucket, node = Window.partitionBy("bucket"), Window.partitionBy("node")
+    rank = F.struct(F.sum("size").over(node).alias("p"), (-F.col("node")).alias("m"))
+    ranked = buckets.withColumn("size", F.count("*").over(bucket)).select("bucket", "node", rank.alias("rank"))
+    best = ranked.select("node", F.max("rank").over(bucket).alias("rank"))
+    return best.groupBy("node").agg((-F.max("rank")["m"]).alias("v")).where("node <> v").select(F.col("node").alias("u"), "v")
 
 
 def _linked_in(sets: list[np.ndarray], outside: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -263,8 +298,8 @@ def _linked_in(sets: list[np.ndarray], outside: np.ndarray, percent: int) -> Ite
         yield m, found[found != m]
 
 
-def _compared(items: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) that connect components within each task of items (a, b, i, j, node, c, outside, shingles)."""
+def _compared(items: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that connect components within each block (kind, g, i, j) of items (*block, node, c, outside)."""
 
     def block(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         nodes, parent = [r[0] for r in rows], {r[1]: r[1] for r in rows}
@@ -299,57 +334,110 @@ def _compared(items: DataFrame, percent: int) -> DataFrame:
                 if now != key and rows:
                     yield links()
                 key = now
-                rows.append((node, c, out, np.frombuffer(data.as_py(), np.uint64)))
+                rows.append((node, c, out, _unpacked(data.as_buffer())))
         if rows:
             yield links()
 
-    key = ["a", "b", "i", "j"]
-    ordered = items.select(*key, "node", "c", "outside", "shingles").repartition(*key).sortWithinPartitions(*key, "node")
+    key = ["kind", "g", "i", "j"]
+    ordered = items.join(sets, "node").select(*key, "node", "c", "outside", "shingles").repartition(*key).sortWithinPartitions(*key, "node")
     return ordered.mapInArrow(run, "u long, v long")
 
 
-def _links(buckets: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (u, v) that connect whatever is connected; u > v. sizes: (node, n)."""
-    stars = written(_popular(buckets), "stars")
-    near = stars.join(sizes.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
-    # sizes alone forbid a link unless one is within the percentage of the other
-    near = near.where(F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")).select("u", "v")
-    first = written(_confirmed(near, sets, percent).where("linked").select("u", "v"), "links")
-    labels, clusters = components(first), components(stars).withColumnRenamed("component", "cluster")
-    known = written(buckets.select("node").distinct().join(labels, "node", "left").join(clusters, "node", "left")
-                    .join(sizes, "node").select("node", "n", F.coalesce("component", "node").alias("c"), F.coalesce("cluster", "node").alias("cluster")), "labels")
-    rows = buckets.join(known, "node")
-    mixed = rows.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket")
-    rows = written(rows.join(mixed, "bucket").select("bucket", "node", "n", "c", "cluster"), "mixed")
-    # clusters that meet in a bucket, each with itself too; nearly always a bucket lies in one
-    own = rows.select("bucket", "cluster").distinct()
-    meet = own.withColumnRenamed("cluster", "a").join(own.withColumnRenamed("cluster", "b"), "bucket").where("a <= b")
-    sides = meet.select("bucket", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("cluster"))
-    members = written(rows.join(sides, ["bucket", "cluster"]).select("a", "b", "node", "n", "c").distinct(), "members")
-    counts = members.groupBy("a", "b", "c").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
-    main = counts.groupBy("a", "b").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("main"), F.sum("k").alias("k"), F.sum("s").alias("s"), F.max("k").alias("mk"), F.max_by("s", F.struct("k", -F.col("c"))).alias("ms"))
-    blocks = lambda k, s, most: F.greatest(F.ceil(k / most), F.ceil(s / SHINGLES), F.lit(1)).cast("int")
-    plan = main.where("k > mk").select("a", "b", "main", blocks(F.col("k") - F.col("mk"), F.col("s") - F.col("ms"), OUTSIDE).alias("ni"), blocks(F.col("k"), F.col("s"), ALL).alias("nj"))
-    placed = members.join(plan, ["a", "b"]).withColumn("out", F.col("c") != F.col("main"))
+def _blocks(k, shingles, most: int):
+    return F.greatest(F.ceil(k / most), F.ceil(shingles / SHINGLES), F.lit(1)).cast("int")
+
+
+def _groups(rows: DataFrame, key: str) -> DataFrame:
+    """Per value of ``key`` the largest component, into how many blocks the classes outside it and all
+    are cut, and how many sets that moves. Rows are (key, node, n, c, cluster), each once."""
+    by = rows.groupBy(key, "cluster", "c").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    largest = F.struct("k", -F.col("c"))
+    main = by.groupBy(key, "cluster").agg(F.max_by("c", largest).alias("main"), F.sum("k").alias("k"), F.sum("s").alias("s"), F.max("k").alias("mk"), F.max_by("s", largest).alias("ms"))
+    sized = main.where("k > mk").withColumn("out", F.col("k") - F.col("mk")).withColumn("ni", _blocks(F.col("out"), F.col("s") - F.col("ms"), OUTSIDE)).withColumn("nj", _blocks(F.col("k"), F.col("s"), ALL))
+    return sized.select(key, "cluster", "main", "ni", "nj", (F.col("k") * F.col("ni") + F.col("out") * F.col("nj")).alias("moved"), (F.col("k") * F.col("out")).alias("pairs"))
+
+
+def comparisons(rows: DataFrame) -> DataFrame:
+    """The plan (kind, g, main, ni, nj, moved, pairs) of a large cluster's comparisons.
+
+    rows: (bucket, node, n, c, cluster) of buckets with unconnected classes. kind 0: over the
+    cluster g; kind 1: within bucket g. Of each cluster the kind that moves fewer sets is taken.
+    """
+    members = rows.select("cluster", F.col("cluster").alias("g"), "node", "n", "c").distinct()
+    whole = _groups(members, "g").select(F.lit(0).alias("kind"), "*")
+    within = _groups(rows.withColumnRenamed("bucket", "g"), "g").select(F.lit(1).alias("kind"), "*")
+    both = whole.unionAll(within)
+    cost = both.groupBy("cluster").agg(F.sum(F.when(F.col("kind") == 0, F.col("moved"))).alias("m0"), F.sum(F.when(F.col("kind") == 1, F.col("moved"))).alias("m1"))
+    chosen = cost.select("cluster", F.when(F.col("m1") < F.col("m0"), 1).otherwise(0).alias("kind"))
+    return both.join(chosen, ["cluster", "kind"]).select("kind", "g", "main", "ni", "nj", "moved", "pairs")
+
+
+def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(kind, g, i, j, node, c, outside): block i of those outside meets block j of all."""
+    ends = rows.select(F.lit(1).alias("kind"), F.col("bucket").alias("g"), "node", "c").unionAll(rows.select(F.lit(0).alias("kind"), F.col("cluster").alias("g"), "node", "c").distinct())
     at = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    # block i of those outside meets block j of all; a class outside may come to a task as both
-    as_all = placed.select("a", "b", F.explode(every("ni")).alias("i"), at("nj", 2).alias("j"), "node", "c", F.lit(False).alias("outside"))
-    as_out = placed.where("out").withColumn("i", at("ni", 1)).select("a", "b", "i", F.explode(every("nj")).alias("j"), "node", "c", F.lit(True).alias("outside"))
-    items = as_all.unionAll(as_out).groupBy("a", "b", "i", "j", "node", "c").agg(F.max("outside").alias("outside"))
-    return written(first.unionAll(_compared(items.join(sets, "node"), percent)), "links")
+    placed = ends.join(plan, ["kind", "g"]).withColumn("out", F.col("c") != F.col("main")).withColumn("oi", at("ni", 1)).withColumn("aj", at("nj", 2))
+    # where a class would come to a task as both, it comes as one outside
+    as_all = placed.select("kind", "g", F.explode(every("ni")).alias("i"), F.col("aj").alias("j"), "node", "c", "out", "oi").where("not (out and i = oi)")
+    as_out = placed.where("out").select("kind", "g", F.col("oi").alias("i"), F.explode(every("nj")).alias("j"), "node", "c")
+    return as_all.select("kind", "g", "i", "j", "node", "c", F.lit(False).alias("outside")).unionAll(as_out.withColumn("outside", F.lit(True)))
+
+
+def _links(buckets: DataFrame, ties: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, t: Scratch) -> list[DataFrame]:
+    """Tables of confirmed links (u, v) that connect whatever is connected.
+
+    buckets: (bucket, node); ties: pairs (u, v) that connect each bucket; sizes: (node, n).
+    """
+    ties = components(ties).withColumnRenamed("component", "cluster")
+    nodes = t.put(ties.join(sizes, "node"), "clusters")
+    large = t.put(nodes.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("s")).where(f"k > {SMALL} or s > {SHINGLES} and k > 2").select("cluster"), "large")
+    zero = F.lit(0)
+    small = nodes.join(large, "cluster", "left_anti").select(zero.alias("kind"), F.col("cluster").alias("g"), zero.alias("i"), zero.alias("j"), "node", F.col("node").alias("c"), F.lit(True).alias("outside"))
+    links = [t.put(_compared(small, sets, percent), "links")]
+    if not large.isEmpty():
+        rows = t.put(buckets.join(nodes.join(large, "cluster", "left_semi"), "node"), "rows")
+        near = _popular(rows.select("bucket", "node")).join(sizes.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
+        # sizes alone forbid a link unless one is within the percentage of the other
+        stars = t.put(near.where(F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")).select("u", "v"), "stars")
+        links.append(t.put(_linked_stars(stars, sets, percent), "links"))
+        labelled = rows.join(components(links[1]), "node", "left").select("bucket", "node", "n", "cluster", F.coalesce("component", "node").alias("c"))
+        within = Window.partitionBy("bucket")
+        mixed = labelled.withColumn("c0", F.min("c").over(within)).withColumn("c1", F.max("c").over(within))
+        open_ = t.put(mixed.where("c0 <> c1").drop("c0", "c1"), "open")
+        plan = t.put(comparisons(open_), "plan")
+        links.append(t.put(_compared(_placed(open_, plan), sets, percent), "links"))
+        t.drop(rows, stars, open_, plan)
+    t.drop(nodes, large)
+    return links
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; linked: 100 * intersection >= percent * union."""
-    docs = documents_of(docs)
-    signed = written(_signed(docs, shingle), "signed")
-    classes = written(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")), "classes")
-    buckets = written(_shared_buckets(signed, classes.select("digest", "node")), "buckets")
-    sets = written(_sets_of(docs, buckets.select("node").distinct(), shingle), "sets")
-    found = components(_links(buckets, classes.groupBy("node").agg(F.max("n").alias("n")), sets, percent))
+    docs, t = documents_of(docs), Scratch(docs.sparkSession)
+    signed = t.put(_signed(docs, shingle), "signed")
+    met = t.put(_shared_buckets(signed), "buckets")
+    least = t.put(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
+    ids = written(signed.select("doc_id", "n", "digest").join(least, "digest", "left").select("doc_id", "n", "node"), "ids")
+    t.drop(signed, least)
+    of_doc = ids.where("node is not null").select("doc_id", "node").distinct()
+    heads = of_doc.select(F.col("doc_id").alias("first"), F.col("node").alias("v"))
+    buckets = t.put(met.join(of_doc, "doc_id").select("bucket", "node").distinct(), "buckets")
+    ties = t.put(met.select("doc_id", "first").distinct().join(of_doc, "doc_id").join(heads, "first").select(F.col("node").alias("u"), "v").where("u <> v").distinct(), "ties")
+    t.drop(met)
+    sets = t.put(_sets_of(docs, buckets.select("node").distinct(), shingle), "sets")
+    sizes = ids.where("doc_id = node").groupBy("node").agg(F.max("n").alias("n"))
+    links = _links(buckets, ties, sizes, sets, percent, t)
+    # texts that share a doc_id
+    shared = of_doc.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("node").alias("v")).where("k > 1").select("doc_id", "v")
+    several = of_doc.join(shared, "doc_id").select(F.col("node").alias("u"), "v")
+    everything = several
+    for table in links:
+        everything = everything.unionAll(table)
+    found = components(everything)
+    t.drop(buckets, ties, sets, *links)
     return (
-        signed.select("doc_id", "n", "digest").join(classes.select("digest", "node"), "digest", "left").join(found, "node", "left")
+        ids.join(found, "node", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

@@ -88,6 +88,27 @@ def test_large_group_of_near_copies(spark):
     assert got == brute_groups(rows, 4, 80)
 
 
+def test_half_similar_documents_are_compared_within_buckets(spark):
+    """Documents on one template, none linked: nothing is found, and what is compared follows the buckets."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(90)]
+    rows = [(k, " ".join(base + [f"x{rng.randrange(10**6)}" for _ in range(30)])) for k in range(400)]
+    rows += [(k + 1000, t + " end") for k, t in rows[:50]]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minmax_dedup.near_duplicates(table(spark, rows), 4, 80).collect()}
+    assert got == brute_groups(rows, 4, 80)
+
+    def planned(n, size):  # a long chain: each bucket shares a class with the next one
+        rows = [(k, k * (size - 1) + j, 50, k * (size - 1) + j, 0) for k in range(n) for j in range(size)]
+        return minmax_dedup.comparisons(spark.createDataFrame(rows, "bucket long, node long, n long, c long, cluster long")).groupBy("kind").sum("pairs").collect()
+
+    (small,), (large,) = planned(200, 8), planned(800, 8)
+    assert small.kind == large.kind == 1 and small[1] == 200 * 8 * 7 and large[1] == 4 * small[1]
+    # buckets that hold nearly the same classes are compared once, over their cluster
+    rows = [(b, k, 50, 0 if k < 500 else k, 0) for b in range(40) for k in range(600) if (k + b) % 5]
+    (whole,) = minmax_dedup.comparisons(spark.createDataFrame(rows, "bucket long, node long, n long, c long, cluster long")).collect()
+    assert (whole.kind, whole.main, whole.pairs) == (0, 0, 600 * 100)
+
+
 def test_whole_table_as_in_sql(spark, small):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
