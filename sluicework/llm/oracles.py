@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from .url_model import BUCKETS, DECAY, EPOCHS, LABELLED, RATE, SIZES
+from .url_model import BUCKETS, DECAY, EPOCHS, LABELLED, RATE, SIZES, THRESHOLD
 
 #: Near duplicates in full: shared shingles of every pair, then what is reachable.
 NEAR_DUPLICATES = r"""
@@ -68,4 +68,4 @@ def url_sql(rules: list[tuple[str, str]], weights: list[float]) -> str:
     c AS (SELECT *, list_transform(string_split('|' || host || '|' || path || '|', ''), lambda x: CAST(unicode(x) AS BIGINT)) AS s FROM p),
     g AS (SELECT page_id, host, path, {grams} AS g FROM c),
     z AS (SELECT page_id, host, path, list_sum(list_transform(g, lambda b: {weights[:-1]!r}[b + 1])) / sqrt(greatest(len(g), 1)) + {weights[-1]!r} AS z FROM g)
-    SELECT page_id, host, path, rule, coalesce(said, CASE WHEN z >= 0 THEN 'block' ELSE 'allow' END) AS verdict, round(1 / (1 + exp(-z)), 6) AS block_score FROM z LEFT JOIN fit USING (page_id)"""
+    SELECT page_id, host, path, rule, coalesce(said, CASE WHEN 1 / (1 + exp(-z)) >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, round(1 / (1 + exp(-z)), 6) AS block_score FROM z LEFT JOIN fit USING (page_id)"""

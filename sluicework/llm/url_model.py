@@ -16,26 +16,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS, EPOCHS, RATE, DECAY, MOST_LABELLED = 1024, 60, 0.5, 0.0003, 2000
+BUCKETS, EPOCHS, RATE, DECAY, MOST_LABELLED = 1024, 30, 0.5, 0.0003, 2000
 SIZES = (3, 4)
+#: Score from which a url is blocked: of labelled words left out of training, 1 to 2 of 100 ordinary hosts reach it.
+THRESHOLD = 0.6
 
-#: The small labelled table: hosts of either kind, each under a few of the usual paths.
-BLOCKED_HOSTS = (
-    "casino-king", "online-casino", "casino-slots", "win-jackpot", "big-win", "free-spins", "free-poker", "bets-today", "sport-bets", "live-bets", "bet-odds",
-    "adult-cams", "adult-chat", "x-videos", "x-rated-adult", "sex-cams", "cheap-meds", "cheap-viagra", "pills-online", "diet-pills", "rx-pills",
-    "spam-links", "spam-blast", "link-farm", "content-farm", "seo-farm", "ads-server", "ads-click", "pop-ads", "track-pixel", "click-track", "user-track",
-)
-ALLOWED_HOSTS = (
-    "tionen", "thandor", "ththere", "thingred", "erthing", "anthest", "ententh", "tionste", "oresand", "withher", "thesand", "tionand", "ththis", "reading-room",
-    "library", "city-council", "open-school", "museum", "weather", "gardening", "recipes", "travel-notes", "science-daily", "history", "health-advice", "music-lessons",
-    "thatth", "theran", "ndlyth", "whether", "reather", "stherly", "thatwh", "lything", "orntha", "eathed", "inghast", "thouhe", "chatterton", "thatcher",
-    "code-docs", "parks", "law-review", "book-club", "daily-news", "encyclopedia",
-)
-PLACES = (("", "net", "/en/{}"), ("www.", "org", "/de/{}.html"), ("m.", "net", "/fr/{}/"), ("blog.", "com", "/es/{}"))
-LABELLED: list[tuple[str, int]] = [
-    (f"http://{sub}{host}.example.{top}{path.format(1000 + 37 * k + 11 * m)}", blocked)
-    for blocked, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS)) for k, host in enumerate(hosts) for m, (sub, top, path) in enumerate(PLACES) if m in (k % 4, (k + 1) % 4)
-]
+#: Words of the small labelled table: what unwanted hosts are often named after, and ordinary words
+#: of four languages. They were chosen without regard to any table that is judged here.
+UNWANTED = """casino poker jackpot betting slots gambling roulette bingo lottery viagra pills pharmacy cialis meds replica
+    loans payday porn xxx sex adult escort webcam nude torrent warez crack keygen spam clickbait""".split()
+ORDINARY = """library museum school university garden kitchen weather history science music travel news health sports market
+    village forest river mountain bridge station harbour letter paper book reader writer teacher student doctor lawyer farmer
+    baker city council office report journal review archive gallery theatre film photo nature animal plant water energy climate
+    house family children cooking recipe coffee bread bibliothek schule wetter zeitung kirche garten reise rathaus bibliotheque
+    ecole jardin voyage cuisine musique mairie biblioteca escuela cocina viaje noticias iglesia ciudad""".split()
+PLACES = (("", "org", "/about"), ("www.", "com", "/news/{}"), ("blog.", "net", "/post/{}.html"), ("m.", "info", "/item/{}/"))
+
+
+def labelled_hosts(unwanted: list[str] = UNWANTED, ordinary: list[str] = ORDINARY) -> list[tuple[str, int]]:
+    """Hosts made of one or two words, with and without a hyphen, and whether they are to be blocked: any unwanted word makes them so.
+
+    Most hosts of the web are wanted ones: ordinary words make twice as many hosts as unwanted ones do.
+    """
+    pairs = [(w, ordinary[(step * k + 3) % len(ordinary)], 0) for step in (3, 5) for k, w in enumerate(ordinary)] + [(w, "", 0) for w in ordinary]
+    pairs += [(w, unwanted[(7 * k + 3) % len(unwanted)], 1) for k, w in enumerate(unwanted)]
+    pairs += [(ordinary[(step * k + 1) % len(ordinary)], w, 1) for step in (5, 7) for k, w in enumerate(unwanted)]
+    pairs += [(w, ordinary[(11 * k + 2) % len(ordinary)], 1) for k, w in enumerate(unwanted)]
+    return [(a + "-" * (k % 2 and b != "") + b, blocked) for k, (a, b, blocked) in enumerate(pairs)]
+
+
+def labelled_urls(hosts: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Every host under one of the usual places, whatever its label."""
+    return [(f"http://{PLACES[k % 4][0]}{host}.{PLACES[k % 4][1]}{PLACES[k % 4][2].format(1000 + 37 * k)}", blocked) for k, (host, blocked) in enumerate(hosts)]
+
+
+LABELLED = labelled_urls(labelled_hosts())
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -93,7 +108,7 @@ def labelled_table(spark: SparkSession, rows: list[tuple[str, int]] = LABELLED)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(url, blocked)")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], weights: list[float], threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], weights: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, block_score) of every url."""
     host, path = host_and_path(F.col("url"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
