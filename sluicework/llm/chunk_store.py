@@ -40,6 +40,8 @@ from .vocabulary import piece_encoder
 #: Ids that the rolling hash sees; ids of a chunk on average, at least and at most.
 WINDOW, MEAN, LEAST, MOST = 6, 512, 64, 4096
 FACTORS = np.asarray([pow(0x2C1B3C6D, k + 1, 1 << 32) for k in range(WINDOW)], np.uint32)
+#: Addresses that a task remembers, not to send a chunk twice; whatever it sends, each is stored once.
+SEEN = 1 << 18
 OBJECTS = "bucket long, doc_id long, addresses array<binary>, lengths array<int>, address binary, ids binary, n_ids int"
 MANIFEST = "part int, row int, doc_id long, local_start long, n_tokens long, root binary, addresses array<binary>, lengths array<int>"
 
@@ -48,26 +50,29 @@ def address_of(ids: np.ndarray) -> bytes:
     return hashlib.blake2b(ids.astype("<u4").tobytes(), digest_size=16).digest()
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream; the last one is its length."""
+def cut_points(ids: np.ndarray, ends: np.ndarray | None = None) -> list[int]:
+    """Ends of the chunks of documents laid end to end, which end at ``ends`` (one document, if not given).
+
+    The hash's window may reach back into the document before only where a chunk would be too short.
+    """
     n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+    if not n:
+        return []
     mixed = ids.astype(np.uint32) * np.uint32(0x9E3779B1)
     mixed ^= mixed >> np.uint32(15)
     rolling = mixed * FACTORS[0]
     for k in range(1, min(WINDOW, n)):  # the hash of the window that ends at each id
         rolling[k:] += mixed[: n - k] * FACTORS[k]
-    ends = np.flatnonzero(rolling < np.uint32((1 << 32) // MEAN)) + 1
+    ends = np.asarray([n]) if ends is None else ends
+    places = np.union1d(np.flatnonzero(rolling < np.uint32((1 << 32) // MEAN)) + 1, ends)
     out, start = [], 0
-    for end in [*ends.tolist(), n]:
-        while end - start > MOST:
+    for place, last in zip(places.tolist(), np.isin(places, ends).tolist()):
+        while place - start > MOST:
             start += MOST
             out.append(start)
-        if end == n or end - start >= LEAST:
-            if end > start:
-                out.append(end)
-            start = end
+        if last or place - start >= LEAST:
+            out.append(place)
+            start = place
     return out
 
 
@@ -79,31 +84,87 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials modulo the crc's, bits reflected."""
-    out, bit = 0, 1 << 31
-    while bit:
-        if a & bit:
-            out ^= b
-        b = b >> 1 ^ 0xEDB88320 if b & 1 else b >> 1
-        bit >>= 1
-    return out
-
-
-@lru_cache(maxsize=1 << 16)
-def _shift(n_bytes: int) -> int:
-    out, power = 1 << 31, 1 << 23  # x^0 and x^8
-    while n_bytes:
-        if n_bytes & 1:
-            out = _times(out, power)
-        power = _times(power, power)
-        n_bytes >>= 1
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials modulo the crc's, bits reflected, one by one."""
+    a, b = np.broadcast_arrays(np.asarray(a, np.uint32), np.asarray(b, np.uint32))
+    out, b, one = np.zeros(a.shape, np.uint32), b.copy(), np.uint32(1)
+    for bit in range(31, -1, -1):
+        out ^= b & -(a >> np.uint32(bit) & one)
+        b = (b >> one) ^ (np.uint32(0xEDB88320) & -(b & one))
     return out
 
 
-def crc32_joined(first: int, second: int, second_bytes: int) -> int:
-    """crc32 of two byte strings put together, from the crc32 of each."""
-    return _times(_shift(second_bytes), first) ^ second
+@lru_cache(maxsize=1)
+def _shifts() -> np.ndarray:
+    """x to the power of the bits of 0, 1, ... MOST ids of four bytes."""
+    out = np.full(1, 1 << 31, np.uint32)  # x^0
+    step = np.full(1, 1 << 23, np.uint32)  # x^8
+    step = _times(*[_times(step, step)] * 2)  # of a whole id
+    while len(out) <= MOST:  # twice as many each time; step is x^(32 * len(out))
+        out, step = np.concatenate([out, _times(out, step)]), _times(step, step)
+    return out[: MOST + 1]
+
+
+def joined_crc32(crcs: np.ndarray, n_ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """crc32 of the ids of each document from those of its chunks; ``ends``: where each document's chunks end.
+
+    Neighbours are put together, level by level, so a document of very many chunks takes few steps.
+    """
+    crcs, shift = crcs.astype(np.uint32), _shifts()[n_ids]
+    counts = np.diff(ends, prepend=0)
+    while len(counts) and counts.max() > 1:
+        doc = np.repeat(np.arange(len(counts)), counts)
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+        second = np.flatnonzero(place % 2 == 1)
+        crcs[second - 1] = _times(crcs[second - 1], shift[second]) ^ crcs[second]
+        shift[second - 1] = _times(shift[second - 1], shift[second])
+        first = place % 2 == 0
+        crcs, shift, counts = crcs[first], shift[first], (counts + 1) // 2
+    return crcs.astype(np.int64)
+
+
+def _binary(data, stops: np.ndarray) -> pa.Array:
+    """Values that lie end to end in ``data`` and end at ``stops``."""
+    offsets = np.concatenate([[0], stops]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+
+
+def _values(column: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """Bytes of a column of binaries without nulls, and the places in them where its values begin and end."""
+    _, offsets, data = column.cast(pa.binary()).buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return memoryview(data if data is not None else b""), at
+
+
+def _objects(doc_ids: list, encoded: list[bytes], width: str, seen: set) -> Iterator[pa.RecordBatch]:
+    """Recipes of documents, and those of their chunks whose address is new."""
+    names, types = [x.split()[0] for x in OBJECTS.split(", ")], [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32()]
+    data = b"".join(encoded)
+    ids, view = np.frombuffer(data, "<u4"), memoryview(data)
+    doc_ends = np.cumsum([len(x) // 4 for x in encoded])
+    stops = np.asarray(cut_points(ids, doc_ends))
+    starts = np.concatenate([[0], stops[:-1]])
+    addresses = [hashlib.blake2b(view[4 * a : 4 * b], digest_size=16).digest() for a, b in zip(starts.tolist(), stops.tolist())]
+    flat = b"".join(addresses)
+    heads, n = np.frombuffer(flat, "<i8")[::2], len(addresses)
+    offsets = np.concatenate([[0], np.searchsorted(stops, doc_ends, "right")])  # of each document's chunks
+    lists = pa.array(offsets, pa.int32())
+    of_doc = heads[offsets[:-1]] ^ np.asarray([k or 0 for k in doc_ids], np.int64)
+    recipes = [pa.array(of_doc), pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(lists, _binary(flat, 16 * np.arange(1, n + 1))), pa.ListArray.from_arrays(lists, pa.array(stops - starts, pa.int32()))]
+    yield pa.RecordBatch.from_arrays([*recipes, *(pa.nulls(len(doc_ids), t) for t in types[4:])], names=names)
+    new = []
+    for k, a in enumerate(addresses):
+        if a not in seen:
+            seen.add(a)
+            new.append(k)
+    if len(seen) > SEEN:
+        seen.clear()
+    if new:
+        short, at = memoryview(ids.astype(width)).cast("B"), int(width[-1])
+        chunks = b"".join([short[at * a : at * b] for a, b in zip(starts[new].tolist(), stops[new].tolist())])
+        lengths = (stops - starts)[new]
+        columns = [_binary(b"".join([addresses[k] for k in new]), 16 * np.arange(1, len(new) + 1)), _binary(chunks, at * np.cumsum(lengths)), pa.array(lengths, pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(heads[new]), *(pa.nulls(len(new), t) for t in types[1:4]), *columns], names=names)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
@@ -114,28 +175,17 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) ->
         claim("encoding", piece_encoder.cache_clear)
         encoder, seen = piece_encoder(tokenizer_path), set()
         width = "<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        names = [x.split()[0] for x in OBJECTS.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32()]
         for batch in batches:
-            rows, size = [], 0
+            doc_ids, ids, size = [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(encoder.encode(text.as_py()) + end, "<u4")
-                addresses, lengths, start = [], [], 0
-                for stop in cut_points(ids):
-                    chunk = ids[start:stop]
-                    addresses.append(a := address_of(chunk))
-                    lengths.append(stop - start)
-                    start = stop
-                    if a not in seen:
-                        seen.add(a)
-                        rows.append((int.from_bytes(a[:8], "little", signed=True), None, None, None, a, chunk.astype(width).tobytes(), len(chunk)))
-                        size += len(chunk)
-                rows.append((zlib.crc32(addresses[0]) ^ (doc_id or 0), doc_id, addresses, lengths, None, None, None))
+                doc_ids.append(doc_id)
+                ids.append(encoder.encode(text.as_py()) + end)
+                size += len(ids[-1])
                 if size > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                    yield from _objects(doc_ids, ids, width, seen)
+                    doc_ids, ids, size = [], [], 0
+            if doc_ids:
+                yield from _objects(doc_ids, ids, width, seen)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # addresses of one partition
@@ -145,7 +195,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) ->
                 if a is None or a not in seen:
                     keep.append(k)
                     seen.add(a)
-            yield batch.take(pa.array(keep, pa.int32()))
+            yield batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int32()))
 
     objects = documents_of(docs).mapInArrow(encoded, OBJECTS).repartition("bucket").mapInArrow(once, OBJECTS)
     objects.drop("bucket").write.option("compression", "zstd").parquet(f"{path}/objects")
@@ -154,9 +204,9 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) ->
         part, row, start = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             addresses, lengths = batch.column(1), batch.column(2)
-            n = [sum(x) for x in lengths.to_pylist()]
-            starts = (start + np.cumsum([0, *n]))[:-1]
-            start += sum(n)
+            n = np.add.reduceat(lengths.flatten().to_numpy(), np.cumsum(addresses.value_lengths().to_numpy()) - addresses.value_lengths().to_numpy(), dtype=np.int64) if batch.num_rows else np.empty(0, np.int64)
+            starts = start + np.cumsum(n) - n
+            start += int(n.sum())
             roots = [merkle_root(a) for a in addresses.to_pylist()]
             k = len(n)
             yield pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array(range(row, row + k), pa.int32()), batch.column(0), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(roots, pa.binary()), addresses, lengths], names=[x.split()[0] for x in MANIFEST.split(", ")])
@@ -190,30 +240,42 @@ def _pieces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(address, ids, n_ids) -> (address, n_ids, crc of the ids as 32-bit numbers), each chunk hashed again."""
     for batch in batches:
-        crcs, n = [], batch.column(2).to_pylist()
-        for a, ids, k in zip(batch.column(0).to_pylist(), batch.column(1), n):
-            data = ids.as_py()
-            whole = np.frombuffer(data, "<u2" if len(data) == 2 * k else "<u4").astype("<u4")
-            if address_of(whole) != a or len(whole) != k:
+        data, at = _values(batch.column(1))
+        n = batch.column(2).to_numpy()
+        width = 2 if len(n) and at[-1] - at[0] < 4 * n.sum() else 4  # what most chunks have; another one is damaged
+        spans, crcs = np.diff(at), []
+        whole = memoryview(np.frombuffer(data[at[0] : at[-1]], f"<u{width}").astype("<u4")).cast("B") if (spans == width * n).all() else None
+        for k, a in enumerate(batch.column(0).to_pylist()):
+            start = (at[k] - at[0]) // width * 4
+            ids = whole[start : start + 4 * int(n[k])] if whole is not None else _widened(data[at[k] : at[k + 1]], int(n[k]))
+            if ids is None or hashlib.blake2b(ids, digest_size=16).digest() != a:
                 raise ValueError(f"chunk {a.hex()} is damaged")
-            crcs.append(zlib.crc32(whole.tobytes()))
+            crcs.append(zlib.crc32(ids))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(crcs, pa.int64())], names=["address", "n_ids", "crc"])
 
 
+def _widened(data: memoryview, n: int) -> bytes | None:
+    """``n`` ids of two or four bytes as 32-bit numbers; None if there aren't so many."""
+    return np.frombuffer(data, f"<u{len(data) // n}").astype("<u4").tobytes() if n and len(data) in (2 * n, 4 * n) else None
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for doc_id, start, n_tokens, root, chunks in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            crc, n = 0, 0
-            if any(c["crc"] is None for c in chunks):
-                raise ValueError(f"document {doc_id}: a chunk is missing")
-            for c in chunks:
-                crc = crc32_joined(crc, c["crc"], 4 * c["n_ids"])
-                n += c["n_ids"]
-            if n != n_tokens or merkle_root([c["address"] for c in chunks]) != root:
+        chunks, doc_ids = batch.column(4), batch.column(0).to_pylist()
+        counts = chunks.value_lengths().to_numpy()
+        ends, flat = np.cumsum(counts), chunks.flatten()
+        address, n_ids, crc = (flat.field(k) for k in ("address", "n_ids", "crc"))
+        if crc.null_count:
+            at = int(np.flatnonzero(crc.is_null().to_numpy(zero_copy_only=False))[0])
+            raise ValueError(f"document {doc_ids[int(np.searchsorted(ends, at, 'right'))]}: a chunk is missing")
+        n = n_ids.to_numpy()
+        total = np.add.reduceat(n, ends - counts, dtype=np.int64) if len(n) else np.empty(0, np.int64)
+        address, start = address.to_pylist(), 0
+        for doc_id, stop, has, said, root in zip(doc_ids, ends.tolist(), total.tolist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            if has != said or merkle_root(address[start:stop]) != root:
                 raise ValueError(f"document {doc_id}: its chunks don't give what the manifest says")
-            out.append(crc)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            start = stop
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(joined_crc32(crc.to_numpy(), n, ends), pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def verify(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from contextlib import suppress
 from functools import lru_cache
 
 from .common import WHITE_SPACE
@@ -94,14 +95,18 @@ class PieceEncoder:
                 self.ends[marks] = ids
         return ids
 
+    def line(self, text: str) -> bytes:
+        """Ids of what stands between two line breaks, with white space at neither end."""
+        head, *words = text.split(" ")
+        return self.get_bare(head) + b"".join(map(self.get_spaced, words))
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        head, *words = text.split(" ")
-        try:
-            return self.get_bare(head) + b"".join(map(self.get_spaced, words))
-        except Irregular:
-            pass
+        lines = text.split("\n") if "\n\n" not in text else [text]
+        if all(lines) and not any(x[0] in BLANKS or x[-1] in BLANKS for x in lines):
+            with suppress(Irregular):
+                return self.newline.join(map(self.line, lines))
         out = []
         for piece in PIECE.findall(text):
             word = piece[1:]

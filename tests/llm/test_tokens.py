@@ -151,14 +151,22 @@ def test_cuts_follow_the_content():
     assert cuts[-1] == len(ids) and lengths[:-1].min() >= chunk_store.LEAST and lengths.max() <= chunk_store.MOST
     shifted = chunk_store.cut_points(np.concatenate([rng.integers(0, 50_000, 777), ids]))
     assert len({c - 777 for c in shifted} & set(cuts)) > 0.8 * len(cuts)
+    # documents laid end to end are cut as each alone is
+    parts = [ids[:1], ids[:64], ids[1000:20_000], np.zeros(9000, np.int64), ids[5:3000]]
+    ends = np.cumsum([len(p) for p in parts])
+    alone = [int(e - len(p)) + c for p, e in zip(parts, ends) for c in chunk_store.cut_points(p)]
+    assert chunk_store.cut_points(np.concatenate(parts), ends) == alone
     assert chunk_store.cut_points(np.zeros(10_000, np.int64))[-1] == 10_000 and chunk_store.cut_points(ids[:0]) == []
 
 
 def test_joined_checksums_and_roots():
     rng = random.Random(8)
-    for _ in range(40):
-        a, b = rng.randbytes(rng.randint(0, 50)), rng.randbytes(rng.randint(0, 5000))
-        assert chunk_store.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    documents = [[rng.randbytes(4 * rng.choice([1, 2, 64, 700, 4096])) for _ in range(rng.choice([1, 2, 3, 9, 40]))] for _ in range(30)]
+    ends = np.cumsum([len(d) for d in documents])
+    chunks = [c for d in documents for c in d]
+    got = chunk_store.joined_crc32(np.asarray([zlib.crc32(c) for c in chunks]), np.asarray([len(c) // 4 for c in chunks]), ends)
+    assert got.tolist() == [zlib.crc32(b"".join(d)) for d in documents]
+    assert chunk_store.joined_crc32(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)).tolist() == []
     h = lambda x: hashlib.blake2b(x, digest_size=16).digest()
     a, b, c = (h(b"\0" + x) for x in (b"a", b"b", b"c"))
     assert chunk_store.merkle_root([b"a", b"b", b"c"]) == h(b"\1" + h(b"\1" + a + b) + c)
