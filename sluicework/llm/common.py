@@ -13,6 +13,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -124,11 +125,48 @@ def labelled_rows(labels: DataFrame, docs: DataFrame, label: str) -> DataFrame:
 def labelled_sample(rows: DataFrame, docs: DataFrame, per_class: int) -> tuple[DataFrame, list[int]]:
     """A bounded training sample of ``labelled_rows``, and how many rows of each class there were.
 
-    At most ``per_class`` rows of each class, chosen by a hash of the id. Returns (doc_id, text, y).
+    At most ``per_class`` documents of each class, chosen by a hash of the id, each with one text: the
+    least of those that share its id. Returns (doc_id, text, y).
     """
     counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     top = [rows.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
     # at most 2 * per_class rows of two numbers: a proven bound
-    sample = documents_of(docs).join(F.broadcast(top[0].unionAll(top[1])), "doc_id")
-    return sample, [counts.get(0, 0), counts.get(1, 0)]
+    texts = documents_of(docs).join(F.broadcast(top[0].unionAll(top[1])), "doc_id")
+    # only the sampled documents' texts are grouped; copies of one id meet map-side first
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")), [counts.get(0, 0), counts.get(1, 0)]
+
+
+def value_at(table: DataFrame, column: str, rank: int, bins: int = 1024) -> float:
+    """The ``rank``-th smallest number of a column (from 1), exactly, whatever the partitioning.
+
+    Each pass counts in at most ``bins`` bins between the bounds and goes on within the one that holds
+    the rank; no values reach the driver. Nulls take no part; rank must lie within the rows' number.
+    """
+    x = F.col(column)
+    low, high = table.agg(F.min(x), F.max(x)).first()
+    while low < high:
+        part = F.least(F.floor((x - low) / (high - low) * bins), F.lit(bins - 1))
+        rows = table.where((x >= low) & (x <= high)).groupBy(part.alias("bin")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).orderBy("bin").collect()
+        for r in rows:
+            if rank <= r.n:
+                low, high = r.low, r.high
+                break
+            rank -= r.n
+    return float(low)
+
+
+def stay_by_text(docs: DataFrame, stay: Callable[[Iterator[str]], list[bool]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` for whose texts (null: empty) ``stay`` says so; all columns as they were.
+
+    Rows are judged where they are read: texts are neither shuffled nor joined. The column is found
+    as Spark would resolve its name, and told to the workers by its place.
+    """
+    names = docs.columns
+    place = names.index(text_col) if text_col in names else [c.lower() for c in names].index(text_col.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(stay(t.as_py() or "" for t in batch.column(place)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

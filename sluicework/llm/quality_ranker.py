@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, documents_of, fold, labelled_rows, labelled_sample
+from .common import claim, documents_of, fold, labelled_rows, labelled_sample, stay_by_text, value_at, written
 
 PER_CLASS, PAIRS, CUT = 4000, 40_000, 0.7
 #: Marks whose shares of the bytes are features.
@@ -143,10 +143,8 @@ def cut_at(margins: np.ndarray, share: np.ndarray, q: float) -> float:
 
 def cut_of(scored: DataFrame, bad: int, good: int) -> float:
     """``cut_at`` the share of bad ones, over a table of margins: each document once, repeats by their mean."""
-    n = bad + good
-    ranks = [float((k - 0.5) / n) for k in (bad, min(bad + 1, n))]
-    found = scored.groupBy("doc_id").agg(F.avg("margin").alias("margin")).agg(F.percentile_approx("margin", F.array(*map(F.lit, ranks)), 100_000))
-    return float(sum(found.first()[0]) / 2)
+    rows = written(scored.groupBy("doc_id").agg(F.avg("margin").alias("margin")), "margins")
+    return (value_at(rows, "margin", max(bad, 1)) + value_at(rows, "margin", min(bad + 1, bad + good))) / 2
 
 
 def margins(docs: DataFrame, ranker: Ranker) -> DataFrame:
@@ -179,19 +177,12 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
 
 
 def keep(docs: DataFrame, ranker: Ranker) -> DataFrame:
-    """``docs`` without the documents that the model ranks below its cut; all columns as they were.
-
-    Rows are judged where they are read: texts are neither shuffled nor joined.
-    """
+    """``docs`` without the documents that the model ranks below its cut; all columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(ranker)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    def stay(texts: Iterator[str]) -> list[bool]:
         claim("quality")
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            f = np.asarray([features_of(t.as_py() or '') for t in texts]).reshape(batch.num_rows, len(NAMES))
-            stay = m.score(f) >= CUT
-            yield batch.filter(pa.array(stay, pa.bool_()))
+        f = np.asarray([features_of(t) for t in texts]).reshape(-1, len(NAMES))
+        return (shared.value.score(f) >= CUT).tolist()
 
-    return docs.mapInArrow(run, docs.schema)
+    return stay_by_text(docs, stay)

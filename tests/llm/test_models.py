@@ -10,12 +10,11 @@ import duckdb
 import numpy as np
 import pytest
 
-from sluicework.llm import fertility, oracles, quality_ranker, toxicity_mil, url_model
+from sluicework.llm import common, fertility, oracles, quality_ranker, toxicity_mil, url_model
 from sluicework.llm.queries import BYTE_BPE, PIECE_BPE, URL_RULES, op1_bradley_terry_quality, op9_multiple_instance_toxicity
 from sluicework.llm.vocabulary import public_path
 
 DATA = "/root/testdata/sf0.01"
-#: Of the smaller tables' labels only 14 held-out ones are toxic.
 LABELLED = "/root/testdata/sf0.1"
 #: Columns whose names an operator might use itself.
 CLASHING = {"node": "n", "score": 1.5, "bands": "b", "bit": 3, "lang": None, "y": 9, "n": 1, "label": "x"}
@@ -32,10 +31,10 @@ def auc(y, s):
     return float(np.mean((pos[:, None] > neg[None]) + 0.5 * (pos[:, None] == neg[None])))
 
 
-def held_out(spark, df, label):
-    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{LABELLED}/labels.parquet").collect()}
+def held_out(spark, df, label, folder=LABELLED):
+    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     rows = df.collect()
-    assert len(rows) == spark.read.parquet(f"{LABELLED}/documents.parquet").count()
+    assert len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count()
     assert all(0 <= r.score <= 1 and r.held_out == (crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     return [(labels[r.doc_id], r.score, r.predicted) for r in rows if r.held_out and r.doc_id in labels]
 
@@ -47,11 +46,55 @@ def test_quality_ranks_held_out_documents(spark):
     assert all(q == (v >= 0.7) for v, q in zip(s, p))
 
 
-def test_toxicity_of_held_out_documents(spark):
-    rows = held_out(spark, op9_multiple_instance_toxicity(spark, LABELLED), "toxic")
+@pytest.mark.parametrize("folder,least", [(LABELLED, 0.94), (DATA, 0.85)])
+def test_toxicity_of_held_out_documents(spark, folder, least):
+    """At sf0.01 37 labels of training are toxic, and 14 held-out ones."""
+    rows = held_out(spark, op9_multiple_instance_toxicity(spark, folder), "toxic", folder)
     y, s, p = zip(*rows)
-    assert auc(y, s) >= 0.9
+    assert auc(y, s) >= least
     assert all(q == (v >= 0.3) for v, q in zip(s, p))
+    assert np.mean([q for q, t in zip(p, y) if not t]) <= 0.03
+
+
+def plain_bag(text, grams):
+    """Of each sentence how often each n-gram occurs in its distinct words; equal ones once."""
+    out = set()
+    for s in re.split(r"(?<=[.!?])\s+|\n+", text):
+        marked = [f"<{w}>" for w in {m.lower() for m in re.findall(r"[^\W\d_]+", s)}]
+        found = tuple(sum(w.startswith(g, k) for w in marked for k in range(len(w))) for g in grams)
+        if any(found):
+            out.add(found)
+    return sorted(out)
+
+
+def test_toxicity_against_plain_loops(spark):
+    """Scores from the model's weights, and the weights as the optimum of the noisy-or's likelihood."""
+    rng = random.Random(9)
+    words = ["stone", "river", "letter", "quiet", "window", "Grunkle", "vile", "morning"]
+    rows = [(k, " ".join(" ".join(rng.choice(words[: 8 if k % 3 == 0 else 5]) for _ in range(rng.randint(1, 5))) + rng.choice(".!?") for _ in range(rng.randint(1, 7)))) for k in range(90)]
+    rows += [(90, None), (91, ""), (92, "Vile! " * 500), (93, "Vile!"), (None, "vile stone.\nvile stone."), (1, rows[1][1])]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(90)], "doc_id long, toxic int")
+    docs = table(spark, rows)
+    model = toxicity_mil.train(labels, docs, features=40)
+    assert 10 <= len(model.grams) <= 40
+    w, got = np.asarray(model.weights), {}
+    for r in toxicity_mil.score(docs, model).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    for k, text in rows:
+        want = 1 - np.prod([1 - 1 / (1 + np.exp(-(model.bias + np.dot(f, w)))) for f in plain_bag(text or "", model.grams)])
+        assert got[k][0] == pytest.approx(want, abs=1e-9)
+    assert got[92] == got[93] and got[90] == got[91] == [0.0] and len(got[1]) == 2  # a sentence counts once
+    train = [(k % 3 == 0, np.asarray(plain_bag(t, model.grams), float).reshape(-1, len(w))) for k, t in rows[:90] if crc32(str(k).encode()) % 4 != 2]
+    train = [(y, x) for y, x in train if len(x)]
+
+    def loss(w, bias):
+        z = [(y, np.logaddexp(0, bias + x @ w).sum()) for y, x in train]
+        return sum(-np.log(-np.expm1(-c)) if y else c for y, c in z) / len(train) + toxicity_mil.DECAY * w @ w / 20
+
+    at = loss(w, model.bias)
+    steps = [*(0.2 * np.eye(len(w))[:12]), *(-0.2 * np.eye(len(w))[:12])]
+    assert all(loss(w + e, model.bias) > at - 1e-3 for e in steps) and all(loss(w, model.bias + e) > at - 1e-3 for e in (0.2, -0.2))
+    assert at < 0.5 * loss(np.zeros(len(w)), -2.0)
 
 
 def test_pairwise_fit_orders_by_the_feature_that_matters():
@@ -66,6 +109,53 @@ def test_pairwise_fit_orders_by_the_feature_that_matters():
     assert all(loss(w) <= loss(w + e) + 1e-4 for e in 0.1 * np.vstack([np.eye(2), -np.eye(2)]))
 
 
+def test_quality_against_plain_loops(spark):
+    """Features, standardisation, scores and verdicts again by plain loops from the model's numbers; then the cut."""
+    import math
+    from collections import Counter
+
+    rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet' ORDER BY doc_id").fetchall() + [(900, None), (901, ""), (None, "One two!"), (902, "a"), (0, "Twice given.")]
+    docs, labels = table(spark, rows), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality_ranker.train(labels, docs)
+
+    def plain(text):
+        if not text:
+            return [0.0] * len(quality_ranker.NAMES)
+        data, words, lines = text.encode(), text.split(), [x for x in text.split("\n") if x.strip()]
+        n, wide = len(data), sum(b >= 0xC0 for b in data)
+        upper = sum(65 <= b < 91 for b in data) + sum(a == 0xC3 and b < 0x9F for a, b in zip(data, data[1:]))
+        letters = sum(65 <= b < 91 or 97 <= b < 123 for b in data) + wide
+        p = [c / n for c in Counter(data).values()]
+        k, seen, sizes = max(len(words), 1), Counter(words), [len(w) for w in words] or [0]
+        mean = sum(sizes) / len(sizes)
+        share = lambda marks: sum(b in marks for b in data) / n
+        return [
+            math.log1p(len(words)), upper / max(letters, 1), share(b"0123456789"), share(b"|"), share(b"!?"), share(b"#*$%&<>=+@^~_\\/{}[]"), share(b".,;:"), wide / n, share(b"\n"), share(b" "),
+            -sum(x * math.log2(x) for x in p), min(mean, 40), len(seen) / k, max(seen.values(), default=0) / k, sum(a == b for a, b in zip(words, words[1:])) / k,
+            sum(not w[-1].isalnum() and bool(re.search(r"[^\w\s'.,;:)\"-]$", w)) for w in words) / k, 1 - len(set(lines)) / max(len(lines), 1), math.log1p(n / max(len(lines), 1)), min((sum((s - mean) ** 2 for s in sizes) / len(sizes)) ** 0.5, 40),
+        ]
+
+    def margin(text):
+        return sum(w * min(max((x - m) / s, -8), 8) for x, m, s, w in zip(plain(text), model.mean, model.scale, model.weights))
+
+    got = quality_ranker.score(docs, model).collect()
+    assert len(got) == len(rows) and [r.doc_id for r in got] == [k for k, _ in rows]
+    for r, (k, text) in zip(got, rows):
+        want = 1 / (1 + math.exp(-(margin(text) - model.cut + math.log(0.7 / 0.3))))
+        assert r.score == pytest.approx(want, abs=1e-9) and r.predicted == int(r.score >= 0.7)
+        assert r.held_out == (k is not None and crc32(str(k).encode()) % 4 == 2)
+    y = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None and crc32(str(r.doc_id).encode()) % 4 != 2:
+            y[r.doc_id] = max(r.quality, y.get(r.doc_id, 0))
+    of = {k: [margin(t) for i, t in rows if i == k] for k in y}
+    ordered, bad = sorted(sum(v) / len(v) for v in of.values()), sum(q == 0 for q in y.values())
+    assert model.cut == pytest.approx((ordered[bad - 1] + ordered[bad]) / 2)
+    f = {k: np.clip((np.asarray(plain(min(t or "" for i, t in rows if i == k))) - model.mean) / model.scale, -8, 8) for k in y}
+    good, worse = (np.asarray([f[k] for k in sorted(y) if y[k] == q]) for q in (1, 0))
+    assert quality_ranker.fit_pairs(good, worse, quality_ranker.PAIRS) == pytest.approx(model.weights, rel=1e-6, abs=1e-9)
+
+
 def test_cut_is_the_quantile():
     assert quality_ranker.cut_at(np.asarray([4.0, 1.0, 3.0, 2.0]), np.ones(4), 0.5) == 2.5
     assert quality_ranker.cut_at(np.asarray([1.0, 2.0]), np.asarray([3.0, 1.0]), 0.75) == 1.5
@@ -140,18 +230,23 @@ def test_urls_are_judged_as_sql_does(spark, tmp_path):
 
 
 def test_url_model_on_words_left_out(spark):
-    """Every fifth word of either kind is left out of training; see the README for what is found at the full table."""
-    part = lambda words, left: [w for k, w in enumerate(words) if (k % 5 == 0) == left]
-    table = url_model.labelled_urls(url_model.labelled_hosts(part(url_model.UNWANTED, False), part(url_model.ORDINARY, False)))
-    weights = url_model.train(url_model.labelled_table(spark, table))
-    assert weights == pytest.approx(oracles.url_weights(table), abs=1e-9)
-    new = part(url_model.ORDINARY, True)
-    ordinary = [u for u, y in url_model.labelled_urls(url_model.labelled_hosts(part(url_model.UNWANTED, True), new)) if not y]
-    mixed = [u for u, _ in url_model.labelled_urls([(a + b, 1) for a, b in zip(new * 2, part(url_model.UNWANTED, False))])]
-    pages = spark.createDataFrame(list(enumerate(ordinary + mixed)), "page_id long, url string")
-    blocked = [r.verdict == "block" for r in url_model.judge(pages, [], weights).orderBy("page_id").collect()]
-    assert sum(blocked[: len(ordinary)]) <= 0.05 * len(ordinary)
-    assert sum(blocked[len(ordinary) :]) >= 0.3 * len(mixed)  # a known unwanted word beside an ordinary one never seen
+    """In five turns a fifth of the words of either kind is left out of training; the README has the figures."""
+    ordinary, mixed = [], []
+    for turn in range(5):
+        part = lambda words, left: [w for k, w in enumerate(words) if (k % 5 == turn) == left]  # noqa: E731, B023
+        table = url_model.labelled_urls(url_model.labelled_hosts(part(url_model.UNWANTED, False), part(url_model.ORDINARY, False)))
+        weights = oracles.url_weights(table)
+        if not turn:
+            assert url_model.train(url_model.labelled_table(spark, table)) == pytest.approx(weights, abs=1e-9)
+        new = part(url_model.ORDINARY, True)
+        clean = [u for u, y in url_model.labelled_urls(url_model.labelled_hosts(part(url_model.UNWANTED, True), new)) if not y]
+        # a known unwanted word beside an ordinary one never seen
+        beside = [u for u, _ in url_model.labelled_urls([(a + b, 1) for a, b in zip(new * 2, part(url_model.UNWANTED, False))])]
+        pages = spark.createDataFrame(list(enumerate(clean + beside)), "page_id long, url string")
+        blocked = [r.verdict == "block" for r in url_model.judge(pages, [], weights).orderBy("page_id").collect()]
+        ordinary += blocked[: len(clean)]
+        mixed += blocked[len(clean) :]
+    assert sum(ordinary) <= 0.03 * len(ordinary) and sum(mixed) >= 0.35 * len(mixed)
 
 
 def plain_counts(text):
@@ -201,6 +296,58 @@ def test_fertility_bands(spark):
     assert fertility.script_of("Привет мир") == "Cyrillic" and fertility.script_of("123") == "None"
 
 
+def test_verdicts_against_plain_loops(spark):
+    """Measures, quartiles, fences and verdicts of every document, by the libraries and plain numbers."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    sp, tk = sentencepiece.SentencePieceProcessor(model_file=public_path(PIECE_BPE)), Tokenizer.from_file(public_path(BYTE_BPE))
+    rows = duckdb.sql("SELECT doc_id, text, lang FROM '/root/testdata/sf0.001/documents.parquet' ORDER BY doc_id").fetchall()
+    rows += [(1000, "", "en"), (1001, None, None), (1002, rows[0][1], "en"), (1002, rows[1][1], "fr"), (1003, rows[2][1], None), (None, rows[3][1], "de"), (1004, "\u2603 " * 90, "xx")]
+    measured = []
+    for _, text, lang in rows:
+        n, chars, *_, failed = plain_counts(text)
+        ids = [i for w in re.findall(r"[^\x20\x09-\x0D]+", text or "") for i in sp.encode(w)]
+        m = None
+        if ids:
+            p = np.bincount(ids)[np.unique(ids)] / len(ids)
+            m = (chars / len(ids), chars / max(len(tk.encode(text, add_special_tokens=False).ids), 1), np.mean(list(map(sp.IsByte, ids))), -(p * np.log2(p)).sum() / (np.log2(min(len(ids), sp.GetPieceSize())) or 1))
+        measured.append((lang or fertility.script_of(text or ""), n, failed, m))
+    quartiles = {}
+    for language in {m[0] for m in measured}:
+        own = np.asarray([m[3] for m in measured if m[0] == language and not m[2] and m[3]])
+        if len(own):
+            v = np.sort(np.floor(own / fertility.STEP + 0.5), axis=0)
+            quartiles[language] = len(own), v[-(-len(v) // 4) - 1] * fertility.STEP, v[-(-3 * len(v) // 4) - 1] * fertility.STEP
+    degrees = sum(n - 1 for n, _, _ in quartiles.values())
+    pool = sum((n - 1) * (q3 - q1) for n, q1, q3 in quartiles.values()) / degrees
+    want = []
+    for language, n_words, failed, m in measured:
+        kept = not failed
+        if kept and m and language in quartiles:
+            n, q1, q3 = quartiles[language]
+            span = (fertility.SPREAD * (n * (q3 - q1) + fertility.FEW * pool) / (n + fertility.FEW) + 0.01) * max(1, fertility.SETTLED / n_words) ** 0.5
+            kept = all((not low or x >= a - s) and (not high or x <= b + s) for x, a, b, s, (low, high) in zip(m, q1, q3, span, fertility.MEASURES.values()))
+        want.append((kept, m))
+    docs = spark.createDataFrame([(k, t, lang) for k, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    for df in (docs, docs.repartition(7)):  # however the rows lie
+        got = fertility.counts_and_verdicts(df, public_path(PIECE_BPE), public_path(BYTE_BPE)).orderBy("doc_id").collect()
+        assert [r.kept for r in got] == [k for k, _ in want] and 20 < sum(k for k, _ in want) < len(want)
+        for r, (_, m) in zip(got, want):
+            assert [r[k] for k in fertility.MEASURES] == (pytest.approx(list(m)) if m else [None] * 4)
+    # ids do not matter: null, repeated
+    again = spark.createDataFrame(rows, docs.schema)
+    assert sorted(r.kept for r in fertility.counts_and_verdicts(again, public_path(PIECE_BPE), public_path(BYTE_BPE)).collect()) == sorted(k for k, _ in want)
+
+
+def test_exact_ranks(spark):
+    rng = np.random.default_rng(2)
+    for v in (rng.normal(0, 1, 700), np.repeat([1.0, 2.0, 1e12], [300, 1, 50]), np.asarray([5.0])):
+        df = spark.createDataFrame([(float(x),) for x in v], "x double")
+        for rank in {1, len(v) // 3 + 1, len(v)}:
+            assert common.value_at(df, "x", rank, bins=8) == np.sort(v)[rank - 1]
+
+
 def test_bands_reject_bad_documents_that_were_held_out(spark):
     """Of those that pass the base rules, whose labels did not set the fences."""
     y = {k: v for k, v in duckdb.sql(f"SELECT doc_id, max(quality) FROM '{LABELLED}/labels.parquet' WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY 1").fetchall() if crc32(str(k).encode()) % 4 == 2}
@@ -235,10 +382,35 @@ def test_long_bags_keep_all_their_sentences(spark, monkeypatch):
     rng, seen = random.Random(8), []
     words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(450)]
     bad, good = "".join(f"{w}. " for w in dict.fromkeys(words)), "Quiet morning. River stones."
-    monkeypatch.setattr(toxicity_mil, "fit", lambda rows, n, *a: (seen.extend(rows), (np.zeros(n), 0.0))[1])
+    monkeypatch.setattr(toxicity_mil, "fit", lambda y, n, found, feature, k, *a: (seen.extend(zip(y.tolist(), n.tolist())), (np.zeros(k), 0.0))[1])
     labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, toxic int")
-    toxicity_mil.train(labels, table(spark, [(k, bad if k % 2 else good) for k in range(80)]))
-    assert {len(bag) for _, y, bag in seen if y} == {len(set(words))}
+    toxicity_mil.train(labels, table(spark, [(k, bad if k % 2 else good) for k in range(80)]), features=100_000)
+    assert {n for y, n in seen if y} == {len(set(words))}
+
+
+@pytest.mark.parametrize("module,label", [(quality_ranker, "quality"), (toxicity_mil, "toxic")])
+def test_one_text_of_a_labelled_id(spark, module, label):
+    """A labelled id that a third of all rows share brings one row to training."""
+    docs = table(spark, [(k, f"text {k} here.") for k in range(20)] + [(3, f"copy {k}.") for k in range(500)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)] * 2, f"doc_id long, {label} int")
+    sample, _ = common.labelled_sample(common.labelled_rows(labels, docs, label), docs, 100)
+    rows = {r.doc_id: r.text for r in sample.collect()}
+    assert sample.count() == len(rows) == sum(crc32(str(k).encode()) % 4 != 2 for k in range(20))
+    assert 3 not in rows or rows[3] == "copy 0."
+    assert module.score(docs, module.train(labels, docs)).count() == 520
+
+
+@pytest.mark.parametrize("module,label", [(quality_ranker, "quality"), (toxicity_mil, "toxic")])
+def test_filters_read_the_text_column_wherever_it_stands(spark, module, label):
+    rows = duckdb.sql(f"SELECT doc_id, text, {label} FROM '{DATA}/documents.parquet' JOIN '{DATA}/labels.parquet' USING (doc_id) ORDER BY doc_id LIMIT 150").fetchall()
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], f"doc_id long, {label} int")
+    plain = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    model = module.train(labels, plain)
+    want = {r.doc_id for r in module.keep(plain, model).collect()}
+    assert 0 < len(want) < 150
+    odd = spark.createDataFrame([("x", t, k, "spam " * 90) for k, t, _ in rows], "lang string, Text string, DOC_ID long, node string")
+    kept = module.keep(odd, module.train(labels, odd))
+    assert kept.schema == odd.schema and {r.DOC_ID for r in kept.collect()} == want
 
 
 def test_cut_is_of_the_whole_training_fold(spark):
