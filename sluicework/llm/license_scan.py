@@ -19,6 +19,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -113,6 +114,22 @@ def align(template: list[str], words: list[str], first: int, band: int) -> tuple
     return best[-1]
 
 
+def _holds(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of the spans, none of which holds another, holds [start, end)."""
+    k = bisect.bisect_right(spans, (start, 1 << 62))
+    return k > 0 and spans[k - 1][1] >= end
+
+
+def _widen(spans: list[tuple[int, int]], start: int, end: int) -> None:
+    """Adds a span to those of which none holds another."""
+    if _holds(spans, start, end):
+        return
+    k = bisect.bisect_left(spans, (start, -1))
+    while k < len(spans) and spans[k][1] <= end:
+        del spans[k]
+    spans.insert(k, (start, end))
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
@@ -155,10 +172,16 @@ class Scanner:
             if share >= coverage:
                 matches.append((self.names[k], share, words.spans[first][0], words.spans[last][1], n))
         kept: list[tuple[str, float, int, int, int]] = []
+        own: dict[str, list[tuple[int, int]]] = defaultdict(list)  # spans kept of each template: apart, in order
+        inside: dict[float, list[tuple[int, int]]] = defaultdict(list)  # and by coverage
         for m in sorted(set(matches), key=lambda m: (-m[1], m[3] - m[2], m[2], m[0])):
-            over = [o for o in kept if o[2] < m[3] and m[2] < o[3]]
-            if not any(o[0] == m[0] or o[1] > m[1] and o[2] <= m[2] and m[3] <= o[3] for o in over):
-                kept.append(m)
+            spans = own[m[0]]
+            k = bisect.bisect_left(spans, (m[3],))  # those that begin before it ends; the last of them ends last
+            if k and spans[k - 1][1] > m[2] or any(share > m[1] and _holds(s, m[2], m[3]) for share, s in inside.items()):
+                continue
+            kept.append(m)
+            spans.insert(k, (m[2], m[3]))
+            _widen(inside[m[1]], m[2], m[3])
         return sorted(kept, key=lambda m: (m[2], m[0]))
 
 

@@ -9,7 +9,7 @@ candidates, all of them, are then measured exactly.
 The planes' offsets are medians over a bounded sample (``SAMPLE`` vectors, chosen by a hash of the
 id); every vector is indexed. Tasks build forests over shards of up to ``SHARD`` of their own rows
 and never shuffle vectors; only each task's nearest few per query are. Queries go to the tasks in
-blocks of at most ``BLOCK``. On vectors without any structure (the test tables' are uniform on
+blocks of at most ``BLOCK``, cut by ranges of their ids. On vectors without any structure (the test tables' are uniform on
 the sphere) nearness hardly shows in few bits, so a recall of 0.9 takes a large share.
 
 Edge cases: vectors that are null, zero, of another length than most, or that hold nulls or
@@ -124,14 +124,14 @@ def search(vectors: DataFrame, is_query, k: int = 10, trees: int = TREES, bits:
     planes, offsets, dim = fitted
     vectors = vectors.where(F.size("v") == dim)
     queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = -(-queries.count() // block) or 1
     shared = spark.sparkContext.broadcast((planes, offsets))
-    out = None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
-        if len(rows) > 2 * block:
-            raise ValueError("a block of queries is larger than its bound")
-        # at most 2 * block vectors: a proven bound
+    out, last = None, None
+    while True:
+        rows = (queries if last is None else queries.where(F.col("vec_id") > last)).orderBy("vec_id").limit(block).collect()
+        if not rows and out is not None:
+            break
+        last = rows[-1].vec_id if rows else None
+        # at most ``block`` vectors: a proven bound
         asked = spark.sparkContext.broadcast((np.asarray([r.vec_id for r in rows], np.int64), np.asarray([r.v for r in rows]).reshape(len(rows), dim)))
 
         def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
@@ -164,5 +164,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, trees: int = TREES, bits:
 
         found = vectors.mapInArrow(run, schema)
         out = found if out is None else out.unionAll(found)
+        if len(rows) < block:
+            break
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return out.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
