@@ -10,7 +10,8 @@ A language is judged by its own quartiles, however few its documents; the distan
 drawn towards the mean one within all languages, which weighs as much as ``FEW`` documents.
 
 One pass reads the texts; its rows of numbers are kept as a table in the shared folder, from which
-the bands are made and the verdicts given. No text is shuffled.
+the bands are made and the verdicts given. No text is shuffled. Quartiles are exact over measures
+rounded to ``STEP``, from counts that add up in any order, so verdicts don't depend on how rows lie.
 
 Edge cases: null and empty texts have no words and fail the base rules; texts whose words give
 no token have no fertility and are judged by the base rules alone; repeated rows are judged
@@ -26,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import claim, written
@@ -36,6 +37,8 @@ SYMBOLS, SPACES = "#*$%&|<>", " \t\n\v\f\r"
 #: SPREAD and SETTLED reject most documents of quality 0 among those that reject at most 1 of 100
 #: of quality 1, by the labels of sf0.1 outside the held-out fold.
 SPREAD, FEW, SETTLED = 1.3, 50, 400
+#: What measures are rounded to for the quartiles.
+STEP = 0.0001
 #: Words whose pieces a worker keeps.
 KEPT = 300_000
 #: First code points of the scripts told apart where the language is missing.
@@ -68,9 +71,9 @@ def pieces(path: str) -> Pieces:
 def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text with these words."""
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
-    windows = list(zip(words, words[1:], words[2:]))
-    counts, repeated = Counter(windows), 0
-    if len(counts) < len(windows):
+    windows, repeated = list(zip(words, words[1:], words[2:])), 0
+    if len(set(windows)) < len(windows):
+        counts = Counter(windows)
         inside = np.zeros(len(words), bool)
         at = np.fromiter((counts[w] > 1 for w in windows), bool, len(windows))
         inside[:-2] |= at
@@ -109,11 +112,18 @@ def measures(docs: DataFrame, piece_path: str, byte_path: str) -> DataFrame:
                 words = text.encode("utf-8", "replace").split()
                 n, chars, *rest = base_counts(text, words)
                 row = [doc_id, language or script_of(text), n, chars, *rest]
-                ids = np.frombuffer(b"".join(map(get, words)), "<u4")
+                # each distinct word's pieces once, and how often it occurs
+                distinct = Counter(words)
+                found = list(map(get, distinct))
+                ids = np.frombuffer(b"".join(found), "<u4")
                 if len(ids):
-                    counts = np.unique(ids, return_counts=True)[1] / len(ids)
-                    top = math.log2(min(len(ids), len(fallback))) or 1.0
-                    row += [chars / len(ids), chars / max(len(encoder.encode(text)) // 4, 1), float(fallback[ids].mean()), float(-(counts * np.log2(counts)).sum()) / top]
+                    times = np.repeat(np.fromiter(distinct.values(), np.int64, len(found)), np.fromiter(map(len, found), np.int64, len(found)) // 4)
+                    total = int(times.sum())
+                    order = np.argsort(ids)
+                    first = np.flatnonzero(np.diff(ids[order], prepend=len(fallback)))
+                    counts = np.add.reduceat(times[order], first) / total
+                    top = math.log2(min(total, len(fallback))) or 1.0
+                    row += [chars / total, chars / max(len(encoder.encode(text)) // 4, 1), float(times[fallback[ids]].sum() / total), float(-(counts * np.log2(counts)).sum()) / top]
                 else:
                     row += [None] * 4
                 rows.append(row)
@@ -125,9 +135,15 @@ def measures(docs: DataFrame, piece_path: str, byte_path: str) -> DataFrame:
 
 def bands(measured: DataFrame, spread: float = SPREAD) -> DataFrame:
     """Per language: the quartiles of each measure, and how far outside them is kept."""
-    good = measured.where("not base_failed")
-    wide = good.groupBy("language").agg(F.count("chars_per_piece").alias("n"), *(F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), 10000).alias(m) for m in MEASURES))
-    own = written(wide.select("language", "n", *(x for m in MEASURES for x in (F.col(m)[0].alias(f"q1_{m}"), F.col(m)[1].alias(f"q3_{m}"), (F.col(m)[1] - F.col(m)[0]).alias(f"own_{m}")))), "quartiles")
+    good = measured.where("not base_failed and chars_per_piece is not null")
+    # a row for each value that occurs, summed up in each task first
+    stacked = good.select("language", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.round(F.col(m) / STEP).cast("long").alias("value")) for m in MEASURES))).alias("x"))
+    counts = stacked.groupBy("language", "x.measure", "x.value").agg(F.count("*").alias("k"))
+    own_rows = Window.partitionBy("language", "measure")
+    below = counts.withColumn("n", F.sum("k").over(own_rows)).withColumn("upto", F.sum("k").over(own_rows.orderBy("value")))
+    at = lambda share: F.min(F.when(F.col("upto") >= F.ceil(share * F.col("n")), F.col("value"))) * STEP
+    wide = below.groupBy("language").pivot("measure", list(MEASURES)).agg(F.max("n").alias("n"), at(F.lit(0.25)).alias("q1"), at(F.lit(0.75)).alias("q3"))
+    own = written(wide.select("language", F.col("chars_per_piece_n").alias("n"), *(x for m in MEASURES for x in (F.col(f"{m}_q1").alias(f"q1_{m}"), F.col(f"{m}_q3").alias(f"q3_{m}"), (F.col(f"{m}_q3") - F.col(f"{m}_q1")).alias(f"own_{m}")))), "quartiles")
     # the distance within languages, not that of all documents together, which holds their differences too
     degrees = F.greatest(F.col("n") - 1, F.lit(0))
     pooled = own.agg(*(F.coalesce(F.sum(degrees * F.col(f"own_{m}")) / F.nullif(F.sum(degrees), F.lit(0)), F.lit(0.0)).alias(f"pool_{m}") for m in MEASURES))
