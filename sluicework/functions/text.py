@@ -32,11 +32,15 @@ def pre_tokens(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, SPECIAL_SPLIT), lambda t: F.regexp_extract_all(t, F.lit(PRE_TOKEN_JAVA), F.lit(0))))
 
 
+def byte_string(text: Column) -> Column:
+    """UTF-8 bytes of a text as a string that has a character of that number for each byte."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
 def byte_ids(text: Column) -> Column:
     """UTF-8 bytes of a text as array<int>: the ids of a tokenizer without merges."""
-    h = F.hex(F.encode(text, "UTF-8"))
-    return F.when(F.length(h) == 0, F.array().cast("array<int>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(F.length(h) / 2 - 1, F.lit(0)).cast("int")), lambda k: F.conv(F.substring(h, k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+    s = byte_string(text)
+    return F.when(F.length(s) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.split(s, ""), F.ascii))
 
 
 def packed_bytes(text: Column) -> Column:

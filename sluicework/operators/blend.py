@@ -41,9 +41,15 @@ def checked(quota: DataFrame) -> DataFrame:
     return quota.withColumn("n", F.when(F.col("n") > F.col("n_samples"), F.raise_error(text).cast("bigint")).otherwise(F.col("n")))
 
 
-def schedule(quota: DataFrame, width: float = 65536.0) -> DataFrame:
-    """(pos, ds, sample): window j of source i stands at (j + 0.5) / weight; ties to the first source."""
-    rows = quota.where("n > 0").select("ds", "weight", F.explode(F.expr("sequence(0L, n - 1)")).alias("sample")).withColumn("t", (F.col("sample") + 0.5) / F.col("weight"))
+def schedule(quota: DataFrame, width: float = 65536.0, chunk: int = 1 << 16) -> DataFrame:
+    """(pos, ds, sample): window j of source i stands at (j + 0.5) / weight; ties to the first source.
+
+    A source's windows are made in chunks, each by a task of its own: no row holds more than
+    ``chunk`` numbers, or a number for each chunk.
+    """
+    chunks = quota.where("n > 0").select("ds", "weight", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {chunk})")).alias("chunk")).repartition("ds", "chunk")
+    own = F.expr(f"sequence(chunk * {chunk}, least(n, (chunk + 1) * {chunk}) - 1)")
+    rows = chunks.select("ds", "weight", F.explode(own).alias("sample")).withColumn("t", (F.col("sample") + 0.5) / F.col("weight"))
     placed = exclusive_sums(rows, [], ["t", "ds", "sample"], F.floor(F.col("t") / width), {"pos": F.lit(1)})
     return placed.select("pos", "ds", "sample")
 
@@ -66,3 +72,17 @@ def cache_key(sources: DataFrame, size: Column, seq_len: int, split: str) -> Dat
     row = normalized(sources).agg(F.array_sort(F.collect_list(F.struct("ds", "slug", F.format_string("%.6f", "weight").alias("w"), F.format_string(f"{seq_len}:{split}:%d", "n_samples").alias("s")))).alias("a"))
     part = lambda f: F.array_join(F.col(f"a.{f}"), ",")
     return row.select(F.substring(F.md5(F.concat_ws("|", part("slug"), part("w"), size.cast("string"), part("s"))), 1, 12).alias("key"))
+
+
+def cached(sources: DataFrame, size: int, seq_len: int, split: str, folder: str) -> DataFrame:
+    """The schedule from ``folder``, where one with these sources, sizes and weights is kept; else it is made and kept.
+
+    A schedule that was not written to its end has no success mark, and is made again.
+    """
+    spark = sources.sparkSession
+    path = f"{folder.rstrip('/')}/blend-{cache_key(sources, F.lit(size), seq_len, split).first().key}"
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        schedule(checked(quotas(sources, F.lit(size)))).write.mode("overwrite").parquet(path)
+    return spark.read.schema("pos long, ds int, sample long").parquet(path)

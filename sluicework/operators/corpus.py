@@ -46,7 +46,7 @@ def interleave(docs: DataFrame, shares: DataFrame, group: str, order: str = "doc
     has ended once. Sources of share 0 are left out.
     """
     shares = shares.where("p > 0")
-    rows = exclusive_sums(docs, [group], [order], ranges_of(order), {"own": F.lit(1)})
+    rows = exclusive_sums(docs, [group], [order], ranges_of(docs, order), {"own": F.lit(1)})
     n = rows.groupBy(group).agg(F.count("*").alias("n"))
     ends = n.join(shares, group).withColumn("end", F.max(F.col("n") / F.col("p")).over(Window.partitionBy()))
     spans = ends.select(group, "ord", "p", "n", F.floor(F.col("p") * F.col("end") + 0.5).cast("bigint").alias("m"))
@@ -64,4 +64,15 @@ def tokenizer_corpus(docs: DataFrame, shares: DataFrame, group: str, target: int
 
 def token_budget_cut(tokens: DataFrame, group: list[str], budget: Column, order: str = "doc_id") -> DataFrame:
     """Rows kept while the tokens before them don't exceed the budget; the row that crosses it stays."""
-    return exclusive_sums(tokens, group, [order], ranges_of(order), {"before": F.col("seq_len")}).where(F.col("before") <= budget)
+    return exclusive_sums(tokens, group, [order], ranges_of(tokens, order), {"before": F.col("seq_len")}).where(F.col("before") <= budget)
+
+
+def skip_rows(docs: DataFrame, n: int, order: str = "doc_id") -> DataFrame:
+    """The rows after the first ``n`` in order: where a reader that has seen ``n`` rows goes on."""
+    return exclusive_sums(docs, [], [order], ranges_of(docs, order), {"seen": F.lit(1)}).where(F.col("seen") >= n).drop("seen")
+
+
+def first_rows(docs: DataFrame, group: str, n: int, order: str = "doc_id") -> DataFrame:
+    """Each group's first ``n`` rows in order."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    return docs.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")

@@ -86,6 +86,35 @@ def grouped_heads(rows: DataFrame, n_heads: int, n_kv_heads: int) -> DataFrame:
     return rows.withColumn("kv_head", F.floor(F.col("head") / (n_heads // n_kv_heads)).cast("int"))
 
 
+def grouped_attention(queries: DataFrame, keys: DataFrame, n_heads: int, n_kv_heads: int, scale: float) -> DataFrame:
+    """(seq, head, pos, out) of queries (seq, head, pos, q) over keys (seq, kv_head, pos, k, v).
+
+    Each key-value head serves ``n_heads / n_kv_heads`` query heads; a position sees those up to its own.
+    """
+    both = grouped_heads(queries, n_heads, n_kv_heads).join(keys, ["seq", "kv_head", "pos"])
+    return causal_attention(both, scale)
+
+
+def block(x: DataFrame, weights: DataFrame, n_heads: int, n_kv_heads: int, head_dim: int, eps: float = 1e-6, theta: float = 10000.0) -> DataFrame:
+    """(seq, pos, x): one transformer block over rows (seq, pos, x).
+
+    weights: one row with norm1, norm2 (arrays) and wq, wk, wv, wo, gate, up, down (arrays of rows). x +
+    attention of its norm, rotated by position, then + the gated feed-forward of that one's norm.
+    """
+    rows = x.join(F.broadcast(weights))  # one row of weights, as large as the model's shapes say
+    normed = rows.withColumn("h", rmsnorm(F.col("x"), F.col("norm1"), eps))
+    part = lambda c, k: F.slice(c, k * head_dim + 1, head_dim)
+    heads = lambda c, n: F.array(*(part(c, k) for k in range(n)))
+    q = normed.select("seq", "pos", F.posexplode(heads(linear(F.col("h"), F.col("wq")), n_heads)).alias("head", "q"))
+    q = q.withColumn("q", rope(F.col("q"), F.col("pos"), head_dim, theta))
+    kv = normed.select("seq", "pos", heads(linear(F.col("h"), F.col("wk")), n_kv_heads).alias("ks"), heads(linear(F.col("h"), F.col("wv")), n_kv_heads).alias("vs"))
+    kv = kv.select("seq", "pos", F.posexplode(F.arrays_zip("ks", "vs")).alias("kv_head", "e")).select("seq", "pos", "kv_head", rope(F.col("e.ks"), F.col("pos"), head_dim, theta).alias("k"), F.col("e.vs").alias("v"))
+    mixed = grouped_attention(q, kv, n_heads, n_kv_heads, head_dim**-0.5).groupBy("seq", "pos").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("head", "out"))), lambda e: e["out"])).alias("a"))
+    after = rows.join(mixed, ["seq", "pos"]).withColumn("x", F.zip_with("x", linear(F.col("a"), F.col("wo")), lambda a, b: a + b))
+    fed = after.withColumn("h", rmsnorm(F.col("x"), F.col("norm2"), eps)).withColumn("f", swiglu(F.col("h"), F.col("gate"), F.col("up"), F.col("down")))
+    return fed.select("seq", "pos", F.zip_with("x", "f", lambda a, b: a + b).alias("x"))
+
+
 def embedded(tokens: DataFrame, table: DataFrame) -> DataFrame:
     """Rows with ``id`` and the vector that the table (id, vector) has for it."""
     return tokens.join(table, "id")

@@ -2,7 +2,7 @@
 
 An ordered running sum over one large group would put that group into one task. Here rows are
 dealt by (group, range of the order key): each range is summed by itself, the ranges' totals,
-a few numbers for each 65,536 keys, get their own running sum, and both are added.
+one number each, get their own running sum, and both are added.
 """
 
 from __future__ import annotations
@@ -27,6 +27,11 @@ def exclusive_sums(df: DataFrame, group: list[str], order: list[str], bucket: Co
     return out.select(*df.columns, *((F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in sums))
 
 
-def ranges_of(key: str, width: int = 1 << 16) -> Column:
-    """Bucket of an integer order key."""
-    return F.floor(F.col(key) / width)
+def ranges_of(df: DataFrame, key: str, n: int = 1024) -> Column:
+    """Bucket of a numeric order key: one of ``n`` equal ranges between its bounds in ``df``.
+
+    Dense keys and hashed ones, however large, are dealt alike. The bounds are a scalar subquery that
+    reads the key only. Rows without the key have no bucket, as they have no place in the order.
+    """
+    bounds = df.agg(F.struct(F.min(F.col(key).cast("double")).alias("low"), F.greatest((F.max(F.col(key).cast("double")) - F.min(F.col(key).cast("double"))) / n, F.lit(1.0)).alias("width"))).scalar()
+    return F.floor((F.col(key).cast("double") - bounds["low"]) / bounds["width"])

@@ -20,7 +20,7 @@ def byte_documents(docs: DataFrame, slug: str) -> DataFrame:
 
 def with_index(tokens: DataFrame) -> DataFrame:
     """Adds doc_seq (from 0) and st (tokens of the slug before the document)."""
-    return exclusive_sums(tokens, ["slug"], ["doc_id"], ranges_of("doc_id"), {"doc_seq": F.lit(1), "st": F.col("seq_len")})
+    return exclusive_sums(tokens, ["slug"], ["doc_id"], ranges_of(tokens, "doc_id"), {"doc_seq": F.lit(1), "st": F.col("seq_len")})
 
 
 def index(tokens: DataFrame) -> DataFrame:
