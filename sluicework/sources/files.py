@@ -31,6 +31,21 @@ def pinned_files(df: DataFrame) -> DataFrame:
     return df.select(meta["file_path"].alias("path"), meta["file_size"].alias("bytes"), meta["file_modification_time"].alias("modified")).distinct()
 
 
+def read_pinned(spark: SparkSession, pins: DataFrame, kind: str = "parquet") -> DataFrame:
+    """Exactly the files of ``pinned_files``; a file that has changed since, or is gone, is an error.
+
+    There is a row of ``pins`` for each file, never for each record.
+    """
+    paths = [r.path for r in pins.select("path").orderBy("path").collect()]
+    rows = spark.read.format(kind).load(paths)
+    now = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    both = pins.withColumn("path", plain("path")).join(now.withColumn("path", plain("path")), ["path", "bytes", "modified"], "left_anti")
+    if changed := both.limit(1).collect():
+        raise ValueError(f"{changed[0].path} isn't what was pinned")
+    return rows
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """JSONL with a text on each line; no schema is inferred."""
     return spark.read.schema("text string").json(path)
@@ -53,6 +68,11 @@ def gunzipped(body: pd.Series, encoding: pd.Series) -> pd.Series:
     return pd.Series([one(b, e) for b, e in zip(body, encoding)], dtype=object)
 
 
+def gzipped(text: pd.Series) -> pd.Series:
+    """Gzipped UTF-8 bytes of texts; null stays null."""
+    return pd.Series([None if t is None else gzip.compress(t.encode(), 1, mtime=0) for t in text], dtype=object)
+
+
 def with_blobs(rows: DataFrame, blobs: DataFrame) -> DataFrame:
     """Rows (blob_id, src_encoding, ...) with ``text`` from blobs (key, body gzip); "" where there is none.
 
@@ -92,18 +112,30 @@ def fetch_blobs(rows: DataFrame, connect, fetch) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
-def write_vocabulary(merges: list[tuple], vocab_path: str, merges_path: str) -> None:
-    """Vocabulary as JSON and merges as text, both in printable characters; special tokens as they are."""
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _got(spark: SparkSession, path: str) -> str:
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first().content).decode()
+
+
+def write_vocabulary(spark: SparkSession, merges: list[tuple], vocab_path: str, merges_path: str) -> None:
+    """Vocabulary as JSON and merges as text, both in printable characters; special tokens as they are.
+
+    Paths are of any file system that Spark writes to.
+    """
     known = {i: shown(t) for i, t in vocabulary(merges).items()}
-    with open(vocab_path, "w", encoding="utf-8") as f:
-        json.dump({t: i for i, t in known.items()} | SPECIAL_IDS, f, ensure_ascii=False)
-    with open(merges_path, "w", encoding="utf-8") as f:
-        f.write("#version: 0.2\n" + "".join(f"{known[a]} {known[b]}\n" for a, b, *_ in merges))
-
-
-def read_merges(vocab_path: str, merges_path: str) -> list[tuple[int, int]]:
-    with open(vocab_path, encoding="utf-8") as f:
-        ids = json.load(f)
-    with open(merges_path, encoding="utf-8") as f:
-        lines = f.read().split("\n")[1:]
-    return [(ids[a], ids[b]) for a, _, b in (x.partition(" ") for x in lines if x)]
+    _put(spark, vocab_path, json.dumps({t: i for i, t in known.items()} | SPECIAL_IDS, ensure_ascii=False))
+    _put(spark, merges_path, "#version: 0.2\n" + "".join(f"{known[a]} {known[b]}\n" for a, b, *_ in merges))
+
+
+def read_merges(spark: SparkSession, vocab_path: str, merges_path: str) -> list[tuple[int, int]]:
+    ids = json.loads(_got(spark, vocab_path))
+    return [(ids[a], ids[b]) for a, _, b in (x.partition(" ") for x in _got(spark, merges_path).split("\n")[1:] if x)]

@@ -7,10 +7,11 @@ Writing: every task writes one pair for each slug it has rows of, under a name o
 ``_parts``; on commit the pairs are moved into place in task order, so the documents of
 ``<slug>-00000``, ``-00001``, ... follow each other. Rows must come in order: range-partition by
 slug and doc_seq first. An aborted or repeated task leaves nothing behind. No ids pass through
-the driver. ``merge_parts`` makes one pair of a slug's pairs. Paths may be of any file system that
-pyarrow knows.
+the driver. ``merge_all`` makes one pair of each slug's pairs, a task for each slug. Paths may be of
+any file system that pyarrow knows.
 
-Reading: a partition for each pair; every header field is checked.
+Reading: a partition for each pair; every header field is checked. ``documents_at`` and ``spans_at``
+read single documents and spans by their pointers, whatever the shard's size.
 """
 
 from __future__ import annotations
@@ -96,6 +97,100 @@ def merge_parts(path: str, slug: str) -> None:
                 filesystem.delete_file(f"{base}.{end}")
 
 
+def merge_all(spark, path: str) -> None:
+    """``merge_parts`` of every slug below ``path``: each in a task, no byte through the driver."""
+    filesystem, root = _open(path)
+    slugs = sorted({p[0] for p in _pairs(filesystem, root)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slug in batch.column(0).to_pylist():
+                merge_parts(path, slug)
+            yield batch
+
+    if slugs:
+        spark.createDataFrame([(s,) for s in slugs], "slug string").repartition(len(slugs), "slug").mapInArrow(run, "slug string").count()
+
+
+class _Shard:
+    """The pairs of one slug, their indexes read once."""
+
+    def __init__(self, path: str, slug: str):
+        self.filesystem, root = _open(path)
+        prefix = path.split("://")[0] + "://" if "://" in path else ""
+        self.bases = [base for name, _, base in sorted(_pairs(self.filesystem, root)) if name == slug]
+        self.slug, self.index = slug, [read_index(f"{prefix}{base}.idx")[:2] for base in self.bases]
+        self.documents = np.cumsum([0, *(len(n) for n, _ in self.index)])
+        self.tokens = np.cumsum([0, *(int(n.sum()) for n, _ in self.index)])
+
+    def _read(self, pair: int, at: int, size: int) -> bytes:
+        with self.filesystem.open_input_file(f"{self.bases[pair]}.bin") as f:
+            return f.read_at(size, at)
+
+    def document(self, doc_seq: int) -> bytes:
+        if not 0 <= doc_seq < self.documents[-1]:
+            raise ValueError(f"{self.slug} has {self.documents[-1]} documents, not {doc_seq + 1}")
+        pair = int(np.searchsorted(self.documents, doc_seq, "right")) - 1
+        lengths, pointers = self.index[pair]
+        k = doc_seq - int(self.documents[pair])
+        return self._read(pair, int(pointers[k]), 2 * int(lengths[k]))
+
+    def span(self, start: int, length: int) -> bytes:
+        if start < 0 or start + length > self.tokens[-1]:
+            raise ValueError(f"{self.slug}: span of {length} tokens from {start} ends after the shard")
+        out, pair = [], int(np.searchsorted(self.tokens, start, "right")) - 1
+        while length:
+            size = min(length, int(self.tokens[pair + 1]) - start)
+            out.append(self._read(pair, 2 * (start - int(self.tokens[pair])), 2 * size))
+            start, length, pair = start + size, length - size, pair + 1
+        return b"".join(out)
+
+
+def documents_at(requests, path: str):
+    """(slug, doc_seq, data) of rows (slug, doc_seq): each read by its pointer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards: dict[str, _Shard] = {}
+        for batch in batches:
+            slugs = batch.column(0).to_pylist()
+            for s in set(slugs) - set(shards):
+                shards[s] = _Shard(path, s)
+            data = [shards[s].document(k) for s, k in zip(slugs, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=["slug", "doc_seq", "data"])
+
+    return requests.selectExpr("slug", "cast(doc_seq as bigint) as doc_seq").mapInArrow(run, "slug string, doc_seq bigint, data binary")
+
+
+def spans_at(requests, path: str):
+    """(slug, start, length, data) of rows (slug, start, length): tokens across documents; past the end is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards: dict[str, _Shard] = {}
+        for batch in batches:
+            slugs = batch.column(0).to_pylist()
+            for s in set(slugs) - set(shards):
+                shards[s] = _Shard(path, s)
+            data = [shards[s].span(a, n) for s, a, n in zip(slugs, batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=["slug", "start", "length", "data"])
+
+    return requests.selectExpr("slug", "cast(start as bigint) as start", "cast(length as bigint) as length").mapInArrow(run, "slug string, start bigint, length bigint, data binary")
+
+
+def index_lengths(spark, path: str):
+    """(slug, part, n_docs, n_tokens, longest) of every pair, from the lengths in its index alone."""
+    filesystem, root = _open(path)
+    prefix = path.split("://")[0] + "://" if "://" in path else ""
+    pairs = [(slug, part, f"{prefix}{base}.idx") for slug, part, base in sorted(_pairs(filesystem, root))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = [read_lengths(p) for p in batch.column(2).to_pylist()]
+            numbers = [pa.array([f(n) for n in lengths], pa.int64()) for f in (len, lambda n: int(n.sum()), lambda n: int(n.max(initial=0)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers], names=["slug", "part", "n_docs", "n_tokens", "longest"])
+
+    return spark.createDataFrame(pairs, "slug string, part int, path string").mapInArrow(run, "slug string, part int, n_docs bigint, n_tokens bigint, longest bigint")
+
+
 def _pairs(filesystem: fs.FileSystem, root: str) -> list[tuple[str, int, str]]:
     """(slug, part, path without ending) of the pairs in a folder."""
     found = []
