@@ -24,7 +24,7 @@ def _values(rows: list[tuple], schema: str) -> str:
     return config.values(rows, ", ".join(f"{n} {kinds.get(t, t)}" for n, t in (x.split() for x in schema.split(", "))))
 
 
-def build(s, val_frac, batch, world, blend, targets, budget, byte_target, merges, run, ledger, gates, eos) -> dict[str, str]:
+def build(s, val_frac, batch, world, blend, targets, budget, byte_target, merges, run, ledger, gates, eos, plan_budgets) -> dict[str, str]:
     mix = f"mixes AS ({_values(config.mix_rows(), config.MIX_SCHEMA)})"
     plan = f"plan AS ({_values(config.plan_rows(), config.PLAN_SCHEMA)})"
     slug = "list_extract(string_split(repo_id, '/'), -1) || coalesce('-' || nullif(config, ''), '')"
@@ -76,6 +76,7 @@ def build(s, val_frac, batch, world, blend, targets, budget, byte_target, merges
             out.append(f"seq{k + 1} AS (SELECT tok, cnt, replace(sq, '|' || (SELECT l FROM top{k}) || '||' || (SELECT r FROM top{k}) || '|', '|{256 + k}|') AS sq FROM seq{k})")
         return ", ".join(out)
 
+    encoded = f"{chain(merges)}, sums AS (SELECT tok, CAST(string_split(trim(sq, '|'), '||') AS INTEGER[]) AS a FROM seq{merges}), per AS (SELECT tok, len(a) AS n, list_sum(a) AS s FROM sums), each AS (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS tok FROM documents), enc AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(s) AS BIGINT) AS id_sum FROM each JOIN per USING (tok) GROUP BY doc_id)"
     bytes_ = ", ".join(f"({b}, {ord(c)})" for b, c in printable_bytes().items())
     runs = f"runs AS ({_values(*run_table())})"
     steps = f"st AS (SELECT unnest(range({r.n_steps})) AS step)"
@@ -92,6 +93,10 @@ def build(s, val_frac, batch, world, blend, targets, budget, byte_target, merges
         "scan_project_text": "SELECT page_id, html AS text FROM pages",
         "nonempty_filter": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND text <> ''",
         "blob_lookup_default": "SELECT doc_id, lang, coalesce(body, '') AS text FROM documents LEFT JOIN (SELECT conv_id, min(text) AS body FROM conversations WHERE turn = 0 GROUP BY conv_id) ON doc_id = conv_id",
+        "blob_gunzip": "SELECT doc_id, md5(CASE WHEN doc_id % 3 <> 0 THEN text ELSE '' END) AS text_md5, doc_id % 3 <> 0 AND text <> '' AS fetched FROM documents",
+        "corpus_jsonl_roundtrip": "SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY 1",
+        "pinned_read": "SELECT doc_id, n_chars FROM documents",
+        "skip_rows": "SELECT doc_id, n_chars FROM documents ORDER BY doc_id OFFSET 100",
         "source_slug": f"WITH {mix} SELECT mix, ord, repo_id, config, {slug} AS slug FROM mixes",
         "source_label": f"WITH {mix} SELECT mix, ord, repo_id, config, data_dir, repo_id || coalesce('/' || coalesce(nullif(config, ''), nullif(data_dir, '')), '') AS label FROM mixes",
         "plan_filter_category": f"WITH {plan} SELECT {slug} AS slug, category, tokens FROM plan WHERE category = 'code'",
@@ -113,8 +118,12 @@ def build(s, val_frac, batch, world, blend, targets, budget, byte_target, merges
         "byte_pair_freq": f"WITH {freq}, {seq0}, {pairs(0)} SELECT l, r, n FROM pr0",
         "bpe_first_merge": f"WITH {chain(1)} SELECT l, r, n FROM top0",
         "bpe_train_k": f"WITH {chain(merges)} " + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS rank, l, r, n FROM top{k}" for k in range(merges)),
-        "encode_tokens": f"WITH {chain(merges)}, sums AS (SELECT tok, CAST(string_split(trim(sq, '|'), '||') AS INTEGER[]) AS a FROM seq{merges}), per AS (SELECT tok, len(a) AS n, list_sum(a) AS s FROM sums), each AS (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS tok FROM documents) SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(s) AS BIGINT) AS id_sum FROM each JOIN per USING (tok) GROUP BY doc_id",
+        "encode_tokens": f"WITH {encoded} SELECT doc_id, n_tokens, id_sum FROM enc",
         "decode_roundtrip": "SELECT doc_id, TRUE AS ok FROM documents",
+        "vocabulary_files": f"WITH {chain(merges)} " + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS rank, l, r FROM top{k}" for k in range(merges)),
+        "bpe_train_on_cluster": f"WITH {chain(merges)} " + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS rank, l, r, n FROM top{k}" for k in range(merges)),
+        "tokenizer_report": f"""WITH {encoded}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 20 AND text <> '')
+            SELECT source, round(sum(strlen(text)) / CAST(sum(n_tokens) AS DOUBLE), 6) AS bytes_per_token, round(sum(length(text)) / CAST(sum(n_tokens) AS DOUBLE), 6) AS chars_per_token, round(sum(n_tokens) / CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS DOUBLE), 6) AS fertility FROM f JOIN enc USING (doc_id) GROUP BY source""",
         "byte_alphabet": f"SELECT CAST(b AS INTEGER) AS byte, CAST(c AS INTEGER) AS cp FROM (VALUES {bytes_}) AS t(b, c)",
         "tokenizer_metrics": "SELECT source, round(sum(strlen(text)) / CAST(sum(strlen(text)) AS DOUBLE), 6) AS bytes_per_token, round(sum(length(text)) / CAST(sum(strlen(text)) AS DOUBLE), 6) AS chars_per_token, round(sum(strlen(text)) / CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS DOUBLE), 6) AS fertility FROM documents WHERE text <> '' GROUP BY source",
         "shard_index": f"WITH {tokens('source')} SELECT slug, doc_seq, seq_len, st * 2 AS ptr FROM idx",
@@ -122,6 +131,13 @@ def build(s, val_frac, batch, world, blend, targets, budget, byte_target, merges
         "shard_file_roundtrip": f"WITH {tokens('source')} SELECT slug, n_docs, n_tokens FROM tot",
         "shard_get_document": f"WITH {tokens('source')} SELECT slug, doc_seq, seq_len, md5(hx) AS ids_md5 FROM idx WHERE slug = 'src3' AND doc_seq = 7",
         "shard_get_span": f"WITH {tokens('source')} SELECT slug, md5(substr(string_agg(hx, '' ORDER BY doc_id), 4001, 20000)) AS ids_md5 FROM tok WHERE slug = 'src3' GROUP BY slug",
+        "shard_file_documents": f"WITH {tokens('source')} SELECT slug, doc_seq, md5(hx) AS ids_md5 FROM idx WHERE doc_seq = 7",
+        "shard_file_spans": f"WITH {tokens('source')} SELECT slug, CAST(1000 AS BIGINT) AS start, md5(substr(string_agg(hx, '' ORDER BY doc_id), 4001, 8000)) AS ids_md5 FROM tok GROUP BY slug",
+        "shard_file_lengths": f"WITH {tokens('source')} SELECT slug, count(*) AS n_docs, CAST(sum(seq_len) AS BIGINT) AS n_tokens, max(seq_len) AS longest FROM tok GROUP BY slug",
+        "shard_merged_parts": f"WITH {tokens('source')} SELECT slug, n_docs, n_tokens, CAST(0 AS BIGINT) AS last_part FROM tot",
+        "plan_bpe_shards": f"""WITH {encoded}, p AS ({_values(plan_budgets, "slug string, budget bigint")}), t AS (SELECT lang AS slug, d.doc_id, coalesce(n_tokens, 0) + 1 AS seq_len, coalesce(id_sum, 0) + {eos} AS s FROM documents d LEFT JOIN enc ON enc.doc_id = d.doc_id WHERE text IS NOT NULL),
+            b AS (SELECT *, coalesce(sum(seq_len) OVER (PARTITION BY slug ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
+            SELECT slug, count(*) AS n_docs, CAST(sum(seq_len) AS BIGINT) AS n_tokens, CAST(sum(s) AS BIGINT) AS id_sum FROM b JOIN p USING (slug) WHERE before <= budget GROUP BY slug""",
         "token_budget_cut": f"WITH {tokens('source')} SELECT slug, count(*) AS n_docs, CAST(sum(seq_len) AS BIGINT) AS n_tokens FROM idx WHERE st <= {budget} GROUP BY slug",
         "streaming_token_budget": f"WITH {tokens('source')} SELECT slug, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(seq_len) AS BIGINT) AS n_tokens FROM idx WHERE st <= {budget} GROUP BY slug",
         "token_budget_cut_parallel": f"WITH {tokens('source')}, p AS (SELECT *, doc_seq % 4 AS part FROM idx), b AS (SELECT *, coalesce({full.format(part=', part')}, 0) AS before FROM p) SELECT slug, part, count(*) AS n_docs, CAST(sum(seq_len) AS BIGINT) AS n_tokens FROM b WHERE before <= {budget // 4} GROUP BY slug, part",
@@ -131,10 +147,12 @@ def build(s, val_frac, batch, world, blend, targets, budget, byte_target, merges
         "blend_size": f"WITH {blended} SELECT size FROM sz",
         "blend_quota": f"WITH {blended} SELECT ds, slug, n FROM quo",
         "blend_schedule": f"WITH {blended} SELECT pos, ds, sample FROM sch",
+        "blend_schedule_kept": f"WITH {blended} SELECT pos, ds, sample FROM sch",
         "blend_cache_key": f"WITH {blended} SELECT substr(md5(string_agg(slug, ',' ORDER BY ds) || '|' || string_agg(printf('%.6f', w), ',' ORDER BY ds) || '|' || (SELECT size FROM sz) || '|' || string_agg('{s}:train:' || n_samples, ',' ORDER BY ds)), 1, 12) AS key FROM src",
         "rank_shard": f"WITH {blended} SELECT pos % {world} AS rank, pos // {world} AS idx, ds, sample FROM sch WHERE pos < (SELECT size FROM sz) // {world} * {world}",
         "blend_batches": f"WITH {blended}, {windows('0', 'n_train')} SELECT pos // {batch} AS batch, pos % {batch} AS item, sch.ds, sample, md5(x) AS x_md5, md5(y) AS y_md5 FROM sch JOIN mix ON sch.ds = mix.ds JOIN win ON win.slug = mix.slug AND win.k = sample",
         "resume_position": f"WITH l AS ({_values(ledger, 'completed_steps bigint, train_batches_seen bigint')}) SELECT completed_steps, train_batches_seen % 1234 AS start_batch, train_batches_seen // 1234 AS passes FROM l",
+        "checkpoint_commits": f"WITH l AS ({_values(ledger, 'completed_steps bigint, train_batches_seen bigint')}) SELECT completed_steps, train_batches_seen, CAST({r.d_model} AS BIGINT) AS d_model FROM l",
         "lr_schedule": f"WITH {steps} SELECT step, CASE WHEN step < {r.warmup_steps} THEN step / {r.warmup_steps}::DOUBLE WHEN step < {r.n_steps} * 0.9::DOUBLE THEN 1.0::DOUBLE ELSE ({r.n_steps} - step) / ({r.n_steps} * 0.1::DOUBLE) END AS factor FROM st",
         "train_calendar": f"WITH {steps} SELECT step, step * {r.grad_accum_steps} AS first_batch, step * {r.grad_accum_steps} + {r.grad_accum_steps - 1} AS last_batch, step > 0 AND step % 500 = 0 AS evaluates, (step + 1) % {r.checkpoint_every} = 0 OR step = {r.n_steps - 1} AS saves FROM st",
         "checkpoint_calendar": f"WITH {steps} SELECT step + 1 AS completed_steps, (step + 1) * {r.grad_accum_steps} AS train_batches_seen, step // 500 * {r.n_val_batches} AS val_batches_seen FROM st WHERE (step + 1) % {r.checkpoint_every} = 0 OR step = {r.n_steps - 1}",
@@ -151,6 +169,12 @@ def build(s, val_frac, batch, world, blend, targets, budget, byte_target, merges
             sc AS (SELECT a.seq, a.pos, b.pos AS j, b.x AS val, list_dot_product(a.x, b.x) / 8 AS s FROM p a JOIN p b ON a.seq = b.seq AND b.pos <= a.pos),
             w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY seq, pos)) AS e FROM sc), n AS (SELECT *, e / sum(e) OVER (PARTITION BY seq, pos) AS wt FROM w),
             o AS (SELECT seq, pos, k, sum(wt * val[k]) AS u FROM n, LATERAL (SELECT unnest(range(1, 65)) AS k) GROUP BY 1, 2, 3), g AS (SELECT seq, pos, list(u ORDER BY k) AS yy FROM o GROUP BY 1, 2) """ + shown("yy", "seq, pos", "g"),
+        "linear": f"WITH {vec}, m AS (SELECT list(x ORDER BY vec_id) AS w FROM v WHERE vec_id < 16) " + shown("list_transform(w, lambda r: list_dot_product(r, x))", "vec_id", "v, m"),
+        "grouped_attention": f"""WITH {vec}, p AS (SELECT vec_id // 16 AS seq, vec_id % 16 AS pos, x FROM v),
+            q AS (SELECT seq, pos, CAST(h AS INTEGER) AS head, x[16 * h + 1:16 * h + 16] AS q FROM p, (SELECT unnest(range(4)) AS h)), kv AS (SELECT seq, pos AS j, g, x[16 * g + 1:16 * g + 16] AS val FROM p, (SELECT unnest(range(2)) AS g)),
+            sc AS (SELECT q.seq, head, pos, j, val, list_dot_product(q, val) / 4 AS s FROM q JOIN kv ON q.seq = kv.seq AND g = head // 2 AND j <= pos),
+            w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY seq, head, pos)) AS e FROM sc), n AS (SELECT *, e / sum(e) OVER (PARTITION BY seq, head, pos) AS wt FROM w),
+            o AS (SELECT seq, head, pos, k, sum(wt * val[k]) AS u FROM n, LATERAL (SELECT unnest(range(1, 17)) AS k) GROUP BY 1, 2, 3, 4), g AS (SELECT seq, head, pos, list(u ORDER BY k) AS yy FROM o GROUP BY 1, 2, 3) """ + shown("yy", "seq, head, pos", "g"),
         "cross_entropy": f"WITH {vec}, m AS (SELECT vec_id, label, list_transform(x, lambda e: e * 10) AS z FROM v), t AS (SELECT *, list_max(z) AS top FROM m) SELECT vec_id, round(ln(list_sum(list_transform(z, lambda e: exp(e - top)))) + top - z[label + 1], 6) AS loss FROM t",
         "embedding_lookup": f"WITH {vec} " + shown("x", "event_id, id", "(SELECT event_id, event_id % 200 AS id FROM events) JOIN v ON id = vec_id"),
     }

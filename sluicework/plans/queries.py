@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,8 @@ from pyspark.sql import functions as F
 from .. import config
 from ..constants import EOS
 from ..functions import text as T
-from ..operators import blend, bpe, corpus, kernels, ledger, shards
-from ..sources import files
+from ..operators import blend, bpe, corpus, kernels, ledger, sharding, shards
+from ..sources import files, runs, scratch
 from ..sources import shards as shard_files
 from ..streaming import ingest
 from . import oracles
@@ -22,6 +21,8 @@ S, VAL_FRAC, BATCH, WORLD = 256, 0.05, 8, 4
 BLEND = [(0, "en", 0.5), (1, "fr", 0.25), (2, "de", 0.125), (3, "es", 0.125)]
 TARGETS = [(0, "en", 0.55), (1, "fr", 0.2), (2, "de", 0.15), (3, "es", 0.1)]
 BUDGET, BYTE_TARGET, MERGES = 20_000, 1_000_000, 5
+#: Sources of a small shard plan, one of them with more budget than it has tokens.
+PLAN_BUDGETS = [("en", 150_000), ("fr", 20_000), ("de", 1_000_000_000)]
 RUN = "run_246m"
 LEDGER = [(500 * k, 8000 * k) for k in range(1, 8)]
 GATES = [("a", 0, 10.9405), ("b", 0, 11.4), ("c", 0, 10.7), ("a", 1, 0.5), ("a", 2, 0.0224), ("b", 3, 0.3)]
@@ -39,7 +40,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents")
+    return scratch.spread(read(spark, sf_dir, "documents"))
 
 
 def _tokens(spark: SparkSession, sf_dir: str, slug: str = "source") -> DataFrame:
@@ -75,6 +76,37 @@ def blob_lookup_default(spark, sf_dir):
     return rows.join(blobs, rows.doc_id == blobs.conv_id, "left").select("doc_id", "lang", F.coalesce("body", F.lit("")).alias("text"))
 
 
+@query
+def blob_gunzip(spark, sf_dir):
+    """Texts from gzipped blobs by key, decoded; rows without a blob have an empty text."""
+    rows = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("blob_id"), F.lit(None).cast("string").alias("src_encoding"), "text")
+    zipped = F.pandas_udf(files.gzipped, "binary")
+    blobs = rows.where("cast(blob_id as bigint) % 3 <> 0").select(F.concat(F.lit("content/"), "blob_id").alias("key"), zipped("text").alias("body"))
+    found = files.with_blobs(rows.drop("text"), blobs)
+    return found.select(F.col("blob_id").cast("bigint").alias("doc_id"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"), "fetched")
+
+
+@query
+def corpus_jsonl_roundtrip(spark, sf_dir):
+    """A corpus as JSONL files, read again: how often each text occurs."""
+    path = scratch.fresh_path(spark, "corpus")
+    files.write_corpus(_documents(spark, sf_dir).select("text"), path)
+    return files.read_corpus(spark, path).groupBy(F.md5(F.encode("text", "UTF-8")).alias("text_md5")).agg(F.count("*").alias("n"))
+
+
+@query
+def pinned_read(spark, sf_dir):
+    """The files that a first read saw, and only those."""
+    pins = files.pinned_files(read(spark, sf_dir, "documents"))
+    return files.read_pinned(spark, pins).select("doc_id", "n_chars")
+
+
+@query
+def skip_rows(spark, sf_dir):
+    """What a reader goes on with that has seen 100 documents."""
+    return corpus.skip_rows(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), 100)
+
+
 @query
 def source_slug(spark, sf_dir):
     return _mixes(spark).select("mix", "ord", "repo_id", "config", T.source_slug(F.col("repo_id"), F.col("config")).alias("slug"))
@@ -178,6 +210,30 @@ def decode_roundtrip(spark, sf_dir):
     return docs.select("doc_id", "text").join(back.withColumnRenamed("text", "back"), "doc_id").select("doc_id", (F.col("text") == F.col("back")).alias("ok"))
 
 
+@query
+def vocabulary_files(spark, sf_dir):
+    """Learned merges written as vocabulary and merge files, and read again."""
+    merges = sharding.learn(_documents(spark, sf_dir), MERGES)
+    paths = f"{(folder := scratch.fresh_path(spark, 'vocabulary'))}/vocab.json", f"{folder}/merges.txt"
+    files.write_vocabulary(spark, merges, *paths)
+    return config.table(spark, [(k, *m) for k, m in enumerate(files.read_merges(spark, *paths))], "rank int, l int, r int")
+
+
+@query
+def bpe_train_on_cluster(spark, sf_dir):
+    """The same merges with the sequences in a table."""
+    merges = sharding.learn(_documents(spark, sf_dir), MERGES, "cluster")
+    return config.table(spark, [(k, *m) for k, m in enumerate(merges)], "rank int, l int, r int, n bigint")
+
+
+@query
+def tokenizer_report(spark, sf_dir):
+    """Ratios of the learned tokenizer over each source's first 20 documents."""
+    docs = _documents(spark, sf_dir)
+    found = sharding.tokenizer_report(docs, sharding.learn(docs, MERGES), "source", 20)
+    return found.select("source", *(F.round(c, 6).alias(c) for c in ("bytes_per_token", "chars_per_token", "fertility")))
+
+
 @query
 def byte_alphabet(spark, sf_dir):
     return bpe.byte_alphabet(spark)
@@ -209,13 +265,58 @@ def shard_get_span(spark, sf_dir):
     return shards.get_span(_tokens(spark, sf_dir), "src3", 1000, 5000).select("slug", F.md5(F.hex("data")).alias("ids_md5"))
 
 
+def _shard_files(spark, sf_dir) -> str:
+    path = scratch.fresh_path(spark, "shards")
+    shard_files.write_shards(shards.with_index(_tokens(spark, sf_dir)), path)
+    return path
+
+
 @query
 def shard_file_roundtrip(spark, sf_dir):
     """Shards as .bin and .idx files, read again: totals from the files."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sluicework"
-    path = f"{folder.rstrip('/')}/shards-{uuid.uuid4().hex}"
-    shard_files.write_shards(shards.with_index(_tokens(spark, sf_dir)), path)
-    return shards.totals(shard_files.read_shards(spark, path))
+    return shards.totals(shard_files.read_shards(spark, _shard_files(spark, sf_dir)))
+
+
+@query
+def shard_file_documents(spark, sf_dir):
+    """One document of each shard, read by its pointer."""
+    path = _shard_files(spark, sf_dir)
+    wanted = shard_files.index_lengths(spark, path).select("slug", F.lit(7).alias("doc_seq")).distinct()
+    return shard_files.documents_at(wanted, path).select("slug", "doc_seq", F.md5(F.hex("data")).alias("ids_md5"))
+
+
+@query
+def shard_file_spans(spark, sf_dir):
+    """Tokens across documents, of each shard, read by pointers."""
+    path = _shard_files(spark, sf_dir)
+    wanted = shard_files.index_lengths(spark, path).select("slug", F.lit(1000).alias("start"), F.lit(2000).alias("length")).distinct()
+    return shard_files.spans_at(wanted, path).select("slug", "start", F.md5(F.hex("data")).alias("ids_md5"))
+
+
+@query
+def shard_file_lengths(spark, sf_dir):
+    """From the lengths in the indexes alone."""
+    pairs = shard_files.index_lengths(spark, _shard_files(spark, sf_dir))
+    return pairs.groupBy("slug").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.max("longest").alias("longest"))
+
+
+@query
+def shard_merged_parts(spark, sf_dir):
+    """Each slug's pairs made one, then read."""
+    path = _shard_files(spark, sf_dir)
+    shard_files.merge_all(spark, path)
+    rows = shard_files.read_shards(spark, path)
+    return rows.groupBy("slug").agg(F.count("*").alias("n_docs"), F.sum("seq_len").alias("n_tokens"), F.max("part").cast("bigint").alias("last_part"))
+
+
+@query
+def plan_bpe_shards(spark, sf_dir):
+    """The plan's sources encoded by learned merges, cut at their budgets, written as shards and read back."""
+    docs = _documents(spark, sf_dir).select(F.col("lang").alias("slug"), "doc_id", "text")
+    budgets = config.table(spark, PLAN_BUDGETS, "slug string, budget bigint")
+    rows = sharding.write_plan(docs, budgets, sharding.learn(docs, MERGES), scratch.fresh_path(spark, "plan"))
+    total = F.aggregate(T.unpacked(F.col("data")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return rows.groupBy("slug").agg(F.count("*").alias("n_docs"), F.sum("seq_len").alias("n_tokens"), F.sum(total).alias("id_sum"))
 
 
 @query
@@ -236,7 +337,7 @@ def token_budget_cut_parallel(spark, sf_dir):
 def streaming_token_budget(spark, sf_dir):
     """The budget cut by a stream of files; the ledger's sums."""
     docs = _documents(spark, sf_dir)
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/sluicework').rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    folder = scratch.fresh_path(spark, "ingest")
     stream = ingest.document_stream(spark, sf_dir, docs.schema, "documents*.parquet")
     ingest.ingest(stream, lambda batch: shards.byte_documents(batch, "source"), folder, BUDGET)
     return ingest.ledger(spark, folder).groupBy("slug").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
@@ -297,6 +398,15 @@ def blend_schedule(spark, sf_dir):
     return _schedule(spark, sf_dir)[0]
 
 
+@query
+def blend_schedule_kept(spark, sf_dir):
+    """The schedule made once and kept; the second call reads it."""
+    sources, folder = _sources(spark, sf_dir), scratch.fresh_path(spark, "blends")
+    size = _size(sources)
+    blend.cached(sources, size, S, "train", folder)
+    return blend.cached(sources, size, S, "train", folder)
+
+
 @query
 def blend_cache_key(spark, sf_dir):
     sources = _sources(spark, sf_dir)
@@ -324,6 +434,15 @@ def resume_position(spark, sf_dir):
     return ledger.resume_position(rows, 1234)
 
 
+@query
+def checkpoint_commits(spark, sf_dir):
+    """Entries of a run's checkpoints, each put in place whole; one of them twice."""
+    folder, run = scratch.fresh_path(spark, "checkpoints"), config.load_run(RUN)
+    for steps, seen in [*LEDGER, LEDGER[-1]]:
+        runs.commit(spark, folder, run, steps, seen, 0)
+    return runs.entries(spark, folder).select("completed_steps", "train_batches_seen", F.col("config")["d_model"].cast("bigint").alias("d_model"))
+
+
 @query
 def lr_schedule(spark, sf_dir):
     return ledger.lr_schedule(spark, config.load_run(RUN))
@@ -406,6 +525,24 @@ def causal_softmax(spark, sf_dir):
     return _shown(kernels.causal_attention(rows, 1 / 8).withColumnRenamed("out", "y"), "seq", "pos")
 
 
+@query
+def linear(spark, sf_dir):
+    """Every vector times a matrix of the first 16 ones."""
+    rows = _vectors(spark, sf_dir)
+    matrix = rows.where("vec_id < 16").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "x"))), lambda e: e["x"]).alias("w"))  # 16 rows
+    return _shown(rows.join(F.broadcast(matrix)).withColumn("y", kernels.linear(F.col("x"), F.col("w"))), "vec_id")
+
+
+@query
+def grouped_attention(spark, sf_dir):
+    """Four query heads over two key-value heads of 16 numbers each."""
+    rows = _vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / 16).alias("seq"), (F.col("vec_id") % 16).alias("pos"), "x")
+    part = lambda k: F.slice(F.col("x"), 16 * k + 1, 16)
+    q = rows.select("seq", "pos", F.posexplode(F.array(*map(part, range(4)))).alias("head", "q"))
+    kv = rows.select("seq", "pos", F.posexplode(F.array(*map(part, range(2)))).alias("kv_head", "k")).withColumn("v", F.col("k"))
+    return _shown(kernels.grouped_attention(q, kv, 4, 2, 0.25).withColumnRenamed("out", "y"), "seq", "head", "pos")
+
+
 @query
 def cross_entropy(spark, sf_dir):
     rows = _vectors(spark, sf_dir).withColumn("x", F.transform("x", lambda v: v * 10))
@@ -419,4 +556,4 @@ def embedding_lookup(spark, sf_dir):
     return _shown(kernels.embedded(tokens, table), "event_id", "id")
 
 
-ORACLES = oracles.build(S, VAL_FRAC, BATCH, WORLD, BLEND, TARGETS, BUDGET, BYTE_TARGET, MERGES, RUN, LEDGER, GATES, EOS)
+ORACLES = oracles.build(S, VAL_FRAC, BATCH, WORLD, BLEND, TARGETS, BUDGET, BYTE_TARGET, MERGES, RUN, LEDGER, GATES, EOS, PLAN_BUDGETS)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from sluicework import config
 from sluicework.constants import EOS, N_MERGES, PRE_TOKEN, SPECIALS, printable_bytes
 from sluicework.functions import text as T
-from sluicework.operators import blend, bpe, corpus, kernels, ledger, prefix, shards
-from sluicework.sources import files
+from sluicework.operators import blend, bpe, corpus, kernels, ledger, prefix, sharding, shards
+from sluicework.sources import files, runs
 from sluicework.sources import shards as shard_files
 from sluicework.streaming import ingest
 
@@ -88,10 +88,25 @@ def test_token_budget_keeps_the_crossing_row(spark):
 def test_prefix_sums_over_many_ranges(spark):
     rows = [(g, k, (k * 7 + g) % 11) for g in (0, 1) for k in range(0, 900, 3)]
     df = spark.createDataFrame(rows, "g int, k long, v long")
-    got = {(r.g, r.k): r.s for r in prefix.exclusive_sums(df, ["g"], ["k"], prefix.ranges_of("k", 64), {"s": F.col("v")}).collect()}
+    got = {(r.g, r.k): r.s for r in prefix.exclusive_sums(df, ["g"], ["k"], prefix.ranges_of(df, "k", 14), {"s": F.col("v")}).collect()}
     assert got == {(g, k): sum(v for h, j, v in rows if h == g and j < k) for g, k, _ in rows}
 
 
+def test_prefix_sums_over_hashed_keys(spark):
+    """Keys over the whole range of a long are dealt over the ranges like dense ones."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(-(1 << 63), 1 << 63), rng.randrange(9)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    buckets = df.select(prefix.ranges_of(df, "k", 20).alias("b")).groupBy("b").count().collect()
+    assert 18 <= len(buckets) <= 21 and max(r["count"] for r in buckets) < 60
+    got = {r.k: r.s for r in prefix.exclusive_sums(df, [], ["k"], prefix.ranges_of(df, "k", 20), {"s": F.col("v")}).collect()}
+    assert got == {k: sum(v for j, v in rows if j < k) for k, _ in rows}
+    assert sorted(r.v for r in corpus.skip_rows(df, 150, "k").collect()) == sorted(v for _, v in sorted(rows)[150:])
+    assert corpus.skip_rows(df.limit(0), 3, "k").count() == 0
+    one = spark.createDataFrame([(7, 1)], "k long, v long")
+    assert [r.s for r in prefix.exclusive_sums(one, [], ["k"], prefix.ranges_of(one, "k"), {"s": F.col("v")}).collect()] == [0]
+
+
 def blend_table(spark, rows):
     return spark.createDataFrame([(k, f"s{k}", float(w), n) for k, (w, n) in enumerate(rows)], "ds int, slug string, weight double, n_samples long")
 
@@ -106,6 +121,7 @@ def test_schedule_and_ranks(spark):
     q = blend.quotas(blend_table(spark, [(0.5, 9), (0.3, 9), (0.2, 9)]), F.lit(7))
     rows = blend.schedule(q, width=3.0).orderBy("pos").collect()
     assert [(r.ds, r.sample) for r in rows] == [(0, 0), (1, 0), (2, 0), (0, 1), (0, 2), (1, 1), (0, 3)]
+    assert blend.schedule(q, chunk=2).orderBy("pos").collect() == rows
     ranks = blend.rank_shard(blend.schedule(q), F.lit(7), 2).collect()
     assert len(ranks) == 6 and {r["rank"] for r in ranks} == {0, 1}
     assert blend.blend_size(blend_table(spark, [(0.6, 30), (0.4, 10)])).first().size == 25
@@ -123,24 +139,66 @@ def test_byte_weighted(spark):
 def test_merges(spark):
     count = lambda *t: spark.createDataFrame([(x, 1) for x in t], "tok string, cnt long")
     assert [tuple(r) for r in bpe.pair_freq(count("aaa")).collect()] == [(97, 97, 2)]
-    assert bpe.merge_pair([97, 97, 97], (97, 97), 256) == [256, 97]
+    assert bpe.merged("aaa", "aa", 256) == chr(256) + "a" and bpe.merged("aaaa", "aa", 256) == chr(256) * 2
     assert bpe.first_merge(count("ab", "cd")).first()[:2] == (97, 98)
     assert bpe.train(count("a"), 5) == []
 
 
+def plain_merges(counts, n):
+    """Training by its definition: every pair is counted anew for each merge."""
+    sequences, out = [(list(t.encode()), c) for t, c in counts.items()], []
+    while len(out) < n:
+        pairs = {}
+        for ids_, c in sequences:
+            for p in zip(ids_, ids_[1:]):
+                pairs[p] = pairs.get(p, 0) + c
+        if not pairs:
+            break
+        best = min(pairs, key=lambda p: (-pairs[p], p))
+        for ids_, _ in sequences:
+            k = 0
+            while k + 1 < len(ids_):
+                if (ids_[k], ids_[k + 1]) == best:
+                    ids_[k : k + 2] = [256 + len(out)]
+                k += 1
+        out.append((*best, pairs[best]))
+    return out
+
+
 def test_training_places_agree(spark, small):
     freq = bpe.pretoken_freq(spark.read.parquet(f"{small}/documents.parquet").limit(40)).persist()
-    assert bpe.train(freq, 6) == bpe.train(freq, 6, where="cluster")
+    counts = {r.tok: r.cnt for r in freq.collect()}
+    want = plain_merges(counts, 150)
+    assert bpe.train(freq, 150) == want
+    assert bpe.train(freq, 40, where="cluster") == want[:40]
     with pytest.raises(ValueError, match="distinct pre-tokens"):
         bpe.train(freq, 6, limit=3)
 
 
+def test_a_thousand_merges(spark, small):
+    """Several merges a job, each settled by its counts, are those of one at a time."""
+    counts = {r.tok: r.cnt for r in bpe.pretoken_freq(spark.read.parquet(f"{small}/documents.parquet")).collect()}
+    want = bpe.merges_of(counts, 1000)
+    assert len(want) == 1000 and all(a[2] >= b[2] for a, b in zip(want, want[1:]))
+    sequences, out, jobs = [(t.encode().decode("latin-1"), c) for t, c in counts.items()], [], 0
+    while len(out) < 1000:  # as on the cluster, with a plain count in place of each job
+        pairs, jobs = {}, jobs + 1
+        for q, c in sequences:
+            for p in map(str.__add__, q, q[1:]):
+                pairs[p] = pairs.get(p, 0) + c
+        top = sorted(pairs.items(), key=lambda x: (-x[1], x[0]))
+        for pair, n in bpe.next_merges(top[:256], len(top) <= 256):
+            sequences = [(bpe.merged(q, pair, 256 + len(out)), c) for q, c in sequences]
+            out.append((ord(pair[0]), ord(pair[1]), n))
+    assert out[:1000] == want and jobs < 1000
+
+
 def test_encode_round_trip(spark, tmp_path):
     texts = ["", "a<|endoftext|>b", "two  spaces", "nbsp  x", "line\u0085  ", "IT'ſ", "naïve 12345\r\n\n  end "]
     d = docs(spark, *texts)
     merges = bpe.train(bpe.pretoken_freq(d), 20)
-    files.write_vocabulary(merges, str(tmp_path / "v.json"), str(tmp_path / "m.txt"))
-    assert files.read_merges(str(tmp_path / "v.json"), str(tmp_path / "m.txt")) == [m[:2] for m in merges]
+    files.write_vocabulary(spark, merges, str(tmp_path / "v.json"), str(tmp_path / "m.txt"))
+    assert files.read_merges(spark, str(tmp_path / "v.json"), str(tmp_path / "m.txt")) == [m[:2] for m in merges]
     assert len(json.load(open(tmp_path / "v.json"))) == 256 + len(merges) + 64
     e = bpe.encode(d, merges, "doc_id")
     assert {r.doc_id: r.text for r in bpe.decode(e, merges, "doc_id").collect()} == dict(enumerate(texts))
@@ -197,6 +255,146 @@ def test_blobs(spark, tmp_path):
     assert {r.blob_id: r.text for r in fetched.collect()} == {"x": "grüß", "y": "", "z": ""}
 
 
+def test_pinned_files_must_not_change(spark, tmp_path):
+    path = str(tmp_path / "t")
+    docs(spark, "a", "b").coalesce(1).write.parquet(path)
+    pins = spark.createDataFrame(files.pinned_files(spark.read.parquet(path)).collect())
+    docs(spark, "later").coalesce(1).write.mode("append").parquet(path)
+    assert sorted(r.text for r in files.read_pinned(spark, pins).collect()) == ["a", "b"]
+    old = pins.withColumn("bytes", F.col("bytes") + 1)
+    with pytest.raises(ValueError, match="pinned"):
+        files.read_pinned(spark, old)
+
+
+def test_reads_by_pointer(spark, tmp_path):
+    rng = random.Random(6)
+    d = docs(spark, *("".join(rng.choice("abé") for _ in range(rng.randint(0, 20))) for _ in range(80)))
+    tokens = shards.with_index(shards.byte_documents(d, "slug"))
+    path = str(tmp_path / "s")
+    ordered = tokens.repartitionByRange(3, "slug", "doc_seq").sortWithinPartitions("slug", "doc_seq")
+    spark.dataSource.register(shard_files.TokenShards)
+    ordered.select("slug", "doc_seq", "data").write.format("tokenshard").mode("append").save(path)
+    want = [bytes(r.data) for r in tokens.orderBy("doc_seq").collect()]
+    stream = b"".join(want)
+    ask = spark.createDataFrame([("s", k) for k in (0, 79, 40, 40)], "slug string, doc_seq long")
+    spans = spark.createDataFrame([("s", 3, 300), ("s", 0, len(stream) // 2), ("s", 5, 0)], "slug string, start long, length long")
+    for merge in (False, True):
+        if merge:
+            shard_files.merge_all(spark, path)
+        pairs = shard_files.index_lengths(spark, path).collect()
+        assert len(pairs) == (1 if merge else 3) and sum(r.n_docs for r in pairs) == 80 and sum(r.n_tokens for r in pairs) == len(stream) // 2
+        assert [(r.doc_seq, bytes(r.data)) for r in shard_files.documents_at(ask, path).collect()] == [(k, want[k]) for k in (0, 79, 40, 40)]
+        assert [bytes(r.data) for r in shard_files.spans_at(spans, path).collect()] == [stream[6:606], stream, b""]
+    with pytest.raises(Exception, match="ends after the shard"):
+        shard_files.spans_at(spans.selectExpr("slug", "start", "length + 100000 as length"), path).collect()
+    with pytest.raises(Exception, match="has 80 documents"):
+        shard_files.documents_at(ask.selectExpr("slug", "doc_seq + 80 as doc_seq"), path).collect()
+
+
+def test_plan_to_shards(spark, tmp_path):
+    """What is left out before encoding would have been cut after it."""
+    rng = random.Random(7)
+    rows = [(k, " ".join(rng.choice(["the", "then", "é", "<|endoftext|>"]) for _ in range(rng.randint(0, 9))), rng.choice("ab")) for k in range(120)] + [(500, None, "a"), (501, "x", "c")]
+    d = spark.createDataFrame([(s, k, t) for k, t, s in rows], "slug string, doc_id long, text string")
+    merges = sharding.learn(d, 12)
+    budgets = spark.createDataFrame([("a", 60), ("b", 10**9), ("none", 5)], "slug string, budget long")
+    got = sharding.write_plan(d, budgets, merges, str(tmp_path / "p")).collect()
+    tok = bpe.tokenizer(tuple(m[:2] for m in merges))
+    want = {}
+    for slug, budget in (("a", 60), ("b", 10**9)):
+        used, want[slug] = 0, []
+        for _, t, s in sorted(rows):
+            if s == slug and t is not None and used <= budget:
+                want[slug].append([*tok.encode(t, add_special_tokens=False).ids, EOS])
+                used += len(want[slug][-1])
+    assert {s: [ids(r.data) for r in sorted(got, key=lambda r: r.doc_seq) if r.slug == s] for s in ("a", "b")} == want
+    assert len(got) == sum(map(len, want.values())) and len(want["a"]) < 60
+    early = sharding.may_be_kept(d.where("text is not null"), budgets, bpe.longest(merges))
+    assert len(want["a"]) <= early.where("slug = 'a'").count() < d.where("slug = 'a'").count()
+    assert sharding.plan_tokens(d.limit(0), budgets, merges).count() == 0
+
+
+def test_run_ledger(spark, tmp_path):
+    folder, run = str(tmp_path / "c"), config.load_run("smoke")
+    for k in (10, 20, 20):
+        runs.commit(spark, folder, run, k, 4 * k, k)
+    assert runs.resume(spark, folder, run) == (20, 80, 20) and runs.resume(spark, folder, run, 10) == (10, 40, 10)
+    assert runs.entries(spark, folder).count() == 2 and not list((tmp_path / "c").glob("*.tmp"))
+    assert runs.resume(spark, folder, config.resolve({**config.RUNS["smoke"], "device": "cpu"}))[0] == 20
+    with pytest.raises(ValueError, match="lr"):
+        runs.resume(spark, folder, config.resolve({**config.RUNS["smoke"], "lr": 1.0}))
+    with pytest.raises(FileNotFoundError):
+        runs.resume(spark, folder, run, 11)
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/checkpoint-1.json").write_text('{"config": {}}')
+    with pytest.raises(ValueError, match="weights only"):
+        runs.resume(spark, str(tmp_path / "w"), run)
+
+
+def test_commands(spark, tmp_path):
+    from sluicework.__main__ import run
+
+    for slug, n in (("fineweb-edu-sample-100BT", 30), ("dclm-baseline-1.0", 20)):
+        docs(spark, *(f"some words {k} and more" for k in range(n))).select("text").write.parquet(str(tmp_path / "d" / slug))
+    names = ["--data", str(tmp_path / "d"), "--vocab", str(tmp_path / "v.json"), "--merge-file", str(tmp_path / "m.txt")]
+    one = [*names[:1], str(tmp_path / "d/dclm-baseline-1.0"), *names[2:]]
+    assert run(spark, ["train-tokenizer", "--merges", "9", *one]).first().n_merges == 9
+    report = {r.slug: r for r in run(spark, ["metrics", "--sample-size", "5", *names]).collect()}
+    assert set(report) == {"fineweb-edu-sample-100BT", "dclm-baseline-1.0"} and all(r.bytes_per_token > 1 for r in report.values())
+    written = run(spark, ["shards", "-r", "mlfoundations/dclm-baseline-1.0", "--out", str(tmp_path / "o"), *names]).collect()
+    assert [(r.slug, r.n_docs) for r in written] == [("dclm-baseline-1.0", 20)]
+    with pytest.raises(ValueError, match="no such source"):
+        run(spark, ["shards", "-r", "x", "--out", str(tmp_path / "o"), *names])
+    spark.createDataFrame([("a", 0, 10.8), ("a", 9, 0.01)], "run string, step long, loss double").write.parquet(str(tmp_path / "l"))
+    assert run(spark, ["gate", "step0", "--losses", str(tmp_path / "l")]).first().passed and run(spark, ["gate", "overfit", "--losses", str(tmp_path / "l")]).first().passed
+    runs.commit(spark, str(tmp_path / "k"), config.load_run("smoke"), 5, 6, 7)
+    assert tuple(run(spark, ["resume", "--folder", str(tmp_path / "k")]).first()) == (5, 6, 7)
+
+
+def test_kept_schedules(spark, tmp_path):
+    sources = blend_table(spark, [(0.5, 9), (0.5, 9)])
+    first = blend.cached(sources, 6, 4, "train", str(tmp_path)).orderBy("pos").collect()
+    (kept,) = tmp_path.glob("blend-*")
+    at = (kept / "_SUCCESS").stat().st_mtime_ns
+    assert blend.cached(sources, 6, 4, "train", str(tmp_path)).orderBy("pos").collect() == first and (kept / "_SUCCESS").stat().st_mtime_ns == at
+    (kept / "_SUCCESS").unlink()  # not written to its end
+    assert blend.cached(sources, 6, 4, "train", str(tmp_path)).orderBy("pos").collect() == first and (kept / "_SUCCESS").exists()
+    blend.cached(sources, 5, 4, "train", str(tmp_path)).count()
+    assert len(list(tmp_path.glob("blend-*"))) == 2
+
+
+def test_transformer_block(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    d, heads, kv, hd, ff, n = 8, 4, 2, 2, 6, 5
+    shapes = {"wq": (heads * hd, d), "wk": (kv * hd, d), "wv": (kv * hd, d), "wo": (d, heads * hd), "gate": (ff, d), "up": (ff, d), "down": (d, ff)}
+    w = {k: rng.normal(size=v) for k, v in shapes.items()} | {"norm1": rng.normal(size=d), "norm2": rng.normal(size=d)}
+    x = rng.normal(size=(n, d))
+    norm = lambda v, g: v / np.sqrt((v * v).mean(-1, keepdims=True) + 1e-6) * g
+
+    def rotated(v):  # (n, heads, hd)
+        angle = np.arange(n)[:, None, None] / 10000.0 ** (2 * np.arange(hd // 2) / hd)
+        a, b = v[..., : hd // 2], v[..., hd // 2 :]
+        return np.concatenate([a * np.cos(angle) - b * np.sin(angle), b * np.cos(angle) + a * np.sin(angle)], -1)
+
+    h = norm(x, w["norm1"])
+    q, k, v = rotated((h @ w["wq"].T).reshape(n, heads, hd)), rotated((h @ w["wk"].T).reshape(n, kv, hd)), (h @ w["wv"].T).reshape(n, kv, hd)
+    out = np.zeros((n, heads, hd))
+    for p in range(n):
+        for i in range(heads):
+            e = np.exp(k[: p + 1, i // 2] @ q[p, i] * hd**-0.5)
+            out[p, i] = (e / e.sum()) @ v[: p + 1, i // 2]
+    y = x + out.reshape(n, -1) @ w["wo"].T
+    g = norm(y, w["norm2"])
+    z = g @ w["gate"].T
+    want = y + (z / (1 + np.exp(-z)) * (g @ w["up"].T)) @ w["down"].T
+    rows = spark.createDataFrame([(0, p, x[p].tolist()) for p in range(n)], "seq int, pos int, x array<double>")
+    weights = spark.createDataFrame([tuple(a.tolist() for a in w.values())], ", ".join(f"{k} array<{'double' if a.ndim == 1 else 'array<double>'}>" for k, a in w.items()))
+    got = kernels.block(rows, weights, heads, kv, hd).orderBy("pos").collect()
+    assert np.allclose([r.x for r in got], want)
+
+
 def test_corpus_files(spark, tmp_path):
     files.write_corpus(docs(spark, "a\nb", "é"), str(tmp_path / "c"))
     assert sorted(r.text for r in files.read_corpus(spark, str(tmp_path / "c")).collect()) == ["a\nb", "é"]
