@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spread
+
 #: ``\s`` of the pre-tokenizer (the Unicode property White_Space), as a character class of ``re``.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data folder, by whatever file system the path names."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the data folder, by whatever file system the path names; a small one is dealt over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:

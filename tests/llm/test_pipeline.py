@@ -44,3 +44,24 @@ def test_stages(spark, small):
     for r in packed.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect():
         assert r["sum(length)"] == r["max(doc_tokens)"]
     assert ids(corpus_pipeline.run(spark, small)) == ids(once)
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, clashing names and another order of columns; then empty tables."""
+    text = "The same words stand here again and again in one quiet line of text."
+    rows = [("en", text, 1, "a"), ("en", text, 1, "a"), (None, None, 2, None), ("en", "", 3, "b"), ("de", text, None, "b"), ("de", text + " End", 4, "c"), ("fr", "w " * 30_000, 5, "c")]
+    docs = spark.createDataFrame(rows, "lang string, Text string, doc_id long, node string").selectExpr("*", "1.5 as bit", "'x' as digest", "7 as y", "'z' as margin")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 1), (9, None, None)], "doc_id long, quality int, toxic int")
+    for name, d in (("odd", docs), ("empty", docs.limit(0))):
+        folder = str(tmp_path / name)
+        d.write.parquet(f"{folder}/documents.parquet")
+        (labels if name == "odd" else labels.limit(0)).write.parquet(f"{folder}/labels.parquet")
+        kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.quality(spark, corpus_pipeline.toxicity(spark, read_table(spark, folder, "documents"), folder), folder), folder)
+        assert kept.schema == read_table(spark, folder, "documents").schema
+        pieces = corpus_pipeline.run(spark, folder)
+        found = sorted((r.doc_id for r in kept.collect()), key=repr)
+        if name == "empty":
+            assert found == [] and pieces.count() == 0
+        else:  # document 4 shares 10 of 11 shingles with 1, of which both rows stay
+            assert found == sorted([1, 1, 2, 3, None, 5], key=repr)
+            assert sorted({r.doc_id for r in pieces.collect()}, key=repr) == sorted({*found}, key=repr)
