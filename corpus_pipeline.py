@@ -39,6 +39,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written to the shared folder and read again as the next one's input.
+
+    Filters keep all columns as they are, whatever they are called, and rows as often as they occur;
+    documents of null or empty text go through like others. Rows without doc_id can't be near copies
+    of any and stay. Without labels the filters reject nothing. An empty table gives no pieces.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name, fresh_path(spark, name.replace(" ", "-")))
