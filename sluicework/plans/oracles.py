@@ -84,8 +84,9 @@ def build(s, val_frac, batch, world, blend, targets, budget, byte_target, merges
     vec = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings)"
 
     def shown(expr: str, keep: str, source: str) -> str:
-        at = ", ".join(f"round(y[{k}], 6) AS y{k}" for k in (1, 2, 9, 16))
-        return f"SELECT {keep}, {at}, round(list_sum(y), 5) AS y_sum FROM (SELECT {keep}, {expr} AS y FROM {source})"
+        rounded = lambda v, n: f"CASE WHEN round({v}, {n}) = 0 THEN 0::DOUBLE ELSE round({v}, {n}) END"
+        at = ", ".join(f"{rounded(f'y[{k}]', 6)} AS y{k}" for k in (1, 2, 9, 16))
+        return f"SELECT {keep}, {at}, {rounded('list_sum(y)', 5)} AS y_sum FROM (SELECT {keep}, {expr} AS y FROM {source})"
 
     angle = "({pos}) / pow(10000::DOUBLE, 2.0::DOUBLE * (({i}) % 8) / 16)"
     a = angle.format(pos="(vec_id % 128)", i="i")
@@ -94,6 +95,8 @@ def build(s, val_frac, batch, world, blend, targets, budget, byte_target, merges
         "nonempty_filter": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND text <> ''",
         "blob_lookup_default": "SELECT doc_id, lang, coalesce(body, '') AS text FROM documents LEFT JOIN (SELECT conv_id, min(text) AS body FROM conversations WHERE turn = 0 GROUP BY conv_id) ON doc_id = conv_id",
         "blob_gunzip": "SELECT doc_id, md5(CASE WHEN doc_id % 3 <> 0 THEN text ELSE '' END) AS text_md5, doc_id % 3 <> 0 AND text <> '' AS fetched FROM documents",
+        "blob_fetch": "SELECT doc_id, 'content/' || doc_id AS text FROM documents",
+        "file_subset": "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE doc_id % 3 <> 1",
         "corpus_jsonl_roundtrip": "SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY 1",
         "pinned_read": "SELECT doc_id, n_chars FROM documents",
         "skip_rows": "SELECT doc_id, n_chars FROM documents ORDER BY doc_id OFFSET 100",
@@ -140,6 +143,7 @@ def build(s, val_frac, batch, world, blend, targets, budget, byte_target, merges
             SELECT slug, count(*) AS n_docs, CAST(sum(seq_len) AS BIGINT) AS n_tokens, CAST(sum(s) AS BIGINT) AS id_sum FROM b JOIN p USING (slug) WHERE before <= budget GROUP BY slug""",
         "token_budget_cut": f"WITH {tokens('source')} SELECT slug, count(*) AS n_docs, CAST(sum(seq_len) AS BIGINT) AS n_tokens FROM idx WHERE st <= {budget} GROUP BY slug",
         "streaming_token_budget": f"WITH {tokens('source')} SELECT slug, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(seq_len) AS BIGINT) AS n_tokens FROM idx WHERE st <= {budget} GROUP BY slug",
+        "streaming_restarts": f"WITH {tokens('source')} SELECT slug, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(seq_len) AS BIGINT) AS n_tokens FROM idx WHERE st <= {budget} GROUP BY slug",
         "token_budget_cut_parallel": f"WITH {tokens('source')}, p AS (SELECT *, doc_seq % 4 AS part FROM idx), b AS (SELECT *, coalesce({full.format(part=', part')}, 0) AS before FROM p) SELECT slug, part, count(*) AS n_docs, CAST(sum(seq_len) AS BIGINT) AS n_tokens FROM b WHERE before <= {budget // 4} GROUP BY slug, part",
         "split_bounds": f"WITH {tokens('source')} SELECT slug, cut, n_train, n_val FROM bnd",
         "token_windows": f"WITH {tokens('source')}, {windows('0', 'n_train')} SELECT slug, k, md5(x) AS x_md5, md5(y) AS y_md5 FROM win",
@@ -170,6 +174,7 @@ def build(s, val_frac, batch, world, blend, targets, budget, byte_target, merges
             w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY seq, pos)) AS e FROM sc), n AS (SELECT *, e / sum(e) OVER (PARTITION BY seq, pos) AS wt FROM w),
             o AS (SELECT seq, pos, k, sum(wt * val[k]) AS u FROM n, LATERAL (SELECT unnest(range(1, 65)) AS k) GROUP BY 1, 2, 3), g AS (SELECT seq, pos, list(u ORDER BY k) AS yy FROM o GROUP BY 1, 2) """ + shown("yy", "seq, pos", "g"),
         "linear": f"WITH {vec}, m AS (SELECT list(x ORDER BY vec_id) AS w FROM v WHERE vec_id < 16) " + shown("list_transform(w, lambda r: list_dot_product(r, x))", "vec_id", "v, m"),
+        "swiglu": f"WITH {vec}, m AS (SELECT list(x[1:16] ORDER BY vec_id) AS w FROM v WHERE vec_id < 16), a AS (SELECT vec_id, w, list_transform(w[9:16], lambda r: list_dot_product(r, x[1:16])) AS up, list_transform(w[1:8], lambda r: list_dot_product(r, x[1:16])) AS gate FROM v, m), c AS (SELECT vec_id, w, list_transform(range(1, 9), lambda i: up[i] * gate[i] / (1 + exp(-gate[i]))) AS h FROM a) " + shown("list_transform(w, lambda r: list_dot_product(r[1:8], h))", "vec_id", "c"),
         "grouped_attention": f"""WITH {vec}, p AS (SELECT vec_id // 16 AS seq, vec_id % 16 AS pos, x FROM v),
             q AS (SELECT seq, pos, CAST(h AS INTEGER) AS head, x[16 * h + 1:16 * h + 16] AS q FROM p, (SELECT unnest(range(4)) AS h)), kv AS (SELECT seq, pos AS j, g, x[16 * g + 1:16 * g + 16] AS val FROM p, (SELECT unnest(range(2)) AS g)),
             sc AS (SELECT q.seq, head, pos, j, val, list_dot_product(q, val) / 4 AS s FROM q JOIN kv ON q.seq = kv.seq AND g = head // 2 AND j <= pos),

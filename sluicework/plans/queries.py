@@ -86,6 +86,26 @@ def blob_gunzip(spark, sf_dir):
     return found.select(F.col("blob_id").cast("bigint").alias("doc_id"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"), "fetched")
 
 
+@query
+def blob_fetch(spark, sf_dir):
+    """Objects from a service by key, with one client for each task; this one answers with the key."""
+    import gzip
+
+    rows = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("blob_id"), F.lit("utf-8").alias("src_encoding"))
+    found = files.fetch_blobs(rows, dict, lambda client, key: client.setdefault(key, gzip.compress(key.encode())))
+    return found.select(F.col("blob_id").cast("bigint").alias("doc_id"), "text")
+
+
+@query
+def file_subset(spark, sf_dir):
+    """Two of a data set's files, by a list of paths."""
+    path = scratch.fresh_path(spark, "files")
+    docs = read(spark, sf_dir, "documents")
+    for k in range(3):
+        docs.where(F.col("doc_id") % 3 == k).write.parquet(f"{path}/{k}")
+    return files.load_source(spark, [f"{path}/0", f"{path}/2"], keep=("doc_id",)).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
 @query
 def corpus_jsonl_roundtrip(spark, sf_dir):
     """A corpus as JSONL files, read again: how often each text occurs."""
@@ -343,6 +363,18 @@ def streaming_token_budget(spark, sf_dir):
     return ingest.ledger(spark, folder).groupBy("slug").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
+@query
+def streaming_restarts(spark, sf_dir):
+    """The budget cut by a stream that is stopped and goes on from its offsets, twice, as files arrive."""
+    docs = read(spark, sf_dir, "documents")
+    folder = scratch.fresh_path(spark, "ingest")
+    third = F.floor((F.col("doc_id") - docs.agg(F.min("doc_id")).scalar()) * 3 / (docs.agg(F.max("doc_id")).scalar() - docs.agg(F.min("doc_id")).scalar() + 1))
+    for k in range(3):
+        docs.where(third == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        ingest.ingest(ingest.document_stream(spark, f"{folder}/in", docs.schema), lambda batch: shards.byte_documents(batch, "source"), folder, BUDGET)
+    return ingest.ledger(spark, folder).groupBy("slug").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+
 def _bounds(spark, sf_dir, slug="source"):
     return shards.split_bounds(shards.totals(_tokens(spark, sf_dir, slug).drop("data")), S, VAL_FRAC)
 
@@ -494,8 +526,9 @@ def _vectors(spark, sf_dir):
 
 def _shown(df, *keep):
     """A few values of the array y, and their sum."""
-    at = [F.round(F.element_at("y", k), 6).alias(f"y{k}") for k in (1, 2, 9, 16)]
-    return df.select(*keep, *at, F.round(F.aggregate("y", F.lit(0.0), lambda s, v: s + v), 5).alias("y_sum"))
+    rounded = lambda v, n: F.when(F.round(v, n) == 0, 0.0).otherwise(F.round(v, n))  # noqa: E731  no negative zero
+    at = [rounded(F.element_at("y", k), 6).alias(f"y{k}") for k in (1, 2, 9, 16)]
+    return df.select(*keep, *at, rounded(F.aggregate("y", F.lit(0.0), lambda s, v: s + v), 5).alias("y_sum"))
 
 
 @query
@@ -533,6 +566,16 @@ def linear(spark, sf_dir):
     return _shown(rows.join(F.broadcast(matrix)).withColumn("y", kernels.linear(F.col("x"), F.col("w"))), "vec_id")
 
 
+@query
+def swiglu(spark, sf_dir):
+    """The gated feed-forward of every vector's first 16 numbers; its matrices are of the first 16 vectors."""
+    rows = _vectors(spark, sf_dir)
+    some = rows.where("vec_id < 16").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "x"))), lambda e: F.slice(e["x"], 1, 16)).alias("w"))  # 16 rows
+    down = F.transform("w", lambda r: F.slice(r, 1, 8))
+    y = kernels.swiglu(F.slice("x", 1, 16), F.slice("w", 1, 8), F.slice("w", 9, 8), down)
+    return _shown(rows.join(F.broadcast(some)).withColumn("y", y), "vec_id")
+
+
 @query
 def grouped_attention(spark, sf_dir):
     """Four query heads over two key-value heads of 16 numbers each."""

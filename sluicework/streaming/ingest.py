@@ -19,11 +19,12 @@ from ..operators.corpus import token_budget_cut
 LEDGER = "batch long, slug string, n_docs long, n_tokens long, open boolean"
 
 
-def ingest(stream: DataFrame, frame: Callable[[DataFrame], DataFrame], folder: str, budget: int, wait: bool = True):
+def ingest(stream: DataFrame, frame: Callable[[DataFrame], DataFrame], folder: str, budget: int, wait: bool = True, say: Callable[[int, int], None] | None = None, every: int = 5000):
     """Starts the query; ``frame`` makes (slug, doc_id, seq_len, ...) of a batch of the stream.
 
     Rows of a source that has used up its budget are read but not kept; progress is one ledger row
-    for each batch and source.
+    for each batch and source. ``say`` gets a batch's number and the documents kept so far, whenever
+    another ``every`` of them are reached.
     """
     spark = stream.sparkSession
 
@@ -35,6 +36,11 @@ def ingest(stream: DataFrame, frame: Callable[[DataFrame], DataFrame], folder: s
         done = spark.read.parquet(f"{folder}/tokens/batch={number}").groupBy("slug").agg(F.count("*").alias("n_docs"), F.sum("seq_len").alias("n_tokens"))
         done = done.join(before, "slug", "left").select(F.lit(number).cast("long").alias("batch"), "slug", "n_docs", "n_tokens", (F.col("n_tokens") + F.coalesce("used", F.lit(0)) <= budget).alias("open"))
         done.coalesce(1).write.mode("overwrite").parquet(f"{folder}/ledger/{number}")
+        if say:
+            kept_docs = F.coalesce(F.sum("n_docs"), F.lit(0))
+            past, now = (ledger(spark, folder).where(F.col("batch") < k).agg(kept_docs).first()[0] for k in (number, number + 1))
+            if now // every > past // every:
+                say(number, now)
 
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     if wait:

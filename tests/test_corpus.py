@@ -412,6 +412,15 @@ def test_stream_resumes_within_the_budget(spark, tmp_path):
     assert spark.read.parquet(str(out / "tokens")).count() == 7
 
 
+def test_progress_of_a_stream(spark, tmp_path):
+    schema, told = docs(spark, "x").schema, []
+    for k in range(3):
+        spark.createDataFrame([(10 * k + j, "abcd", "s") for j in range(4)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = ingest.document_stream(spark, str(tmp_path / "in"), schema, files_per_batch=1)
+    ingest.ingest(stream, lambda b: shards.byte_documents(b, "slug"), str(tmp_path / "out"), budget=1000, say=lambda batch, n: told.append((batch, n)), every=5)
+    assert told == [(1, 8), (2, 12)]
+
+
 def test_attention_and_feed_forward(spark):
     import math
 
