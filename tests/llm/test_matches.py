@@ -301,3 +301,21 @@ def test_many_blocks_and_shards_agree(spark):
     assert got.keys() == {k for k in range(0, 600, 10)}
     for q, found in got.items():  # a share of 1 makes it exact
         assert [i for _, i in sorted(found)] == [i for i, _ in brute_nearest(ids, x, q, 5)]
+
+
+def test_unclean_tables_give_the_clean_ones_neighbours(spark):
+    """Most rows are null, zero, of another length or not finite, and so would most of a sample be."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 6))
+    odd = [None, [0.0] * 6, [1.0] * 5, [float("nan")] * 6, [float("-inf")] + [0.0] * 5, [None] * 6, []]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000 + k, odd[k % len(odd)]) for k in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    found = {}
+    for r in prefix_forest.search(df, df.vec_id % 20 == 0, k=4, share=1.0).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert found.keys() == {k for k in range(0, 200, 20)}
+    for q, near in found.items():
+        assert [i for _, i in sorted(near)] == [i for i, _ in brute_nearest(np.arange(200), x, q, 4)]
+    # a full last block, and ids below zero
+    again = prefix_forest.search(df.where("vec_id < 200").selectExpr("vec_id - 100 as vec_id", "embedding"), "vec_id % 20 = 0", k=4, share=1.0, block=5)
+    assert {(r.query_id + 100, r["rank"], r.vec_id + 100) for r in again.collect()} == {(q, *n) for q, near in found.items() for n in near}

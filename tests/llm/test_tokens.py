@@ -211,6 +211,16 @@ def test_packing_edges(spark, library):
     assert sum(r.length for r in twice) == 2 * (len(library.encode("a b c").ids) + 1)
 
 
+def test_packing_of_a_very_long_text_among_many_splits(spark, library):
+    rng = random.Random(13)
+    words = ["stone", "river", "und", "l'eau", "the", "12,5", "\u6f22"]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([1, 9, 300])))) for k in range(200)]
+    rows += [(900, " ".join(rng.choice(words) for _ in range(250_000))), (901, None), (902, "")]
+    got = ss_packing.pack(table(spark, rows).repartition(9), PATH).collect()
+    assert check_packing(got, stream(library, rows, 1), 2048) == 0
+    assert len({r.sequence_id // ss_packing.PER_TASK for r in got}) > 4
+
+
 def test_rule_takes_the_least_sum_of_squares():
     rng = random.Random(12)
     c, rule = 40, ss_packing.SumOfSquares(40)
