@@ -3,7 +3,13 @@
 Each round replaces the links of every vertex by links to its smallest neighbour, first from its
 larger neighbours, then from its smaller ones; after a few rounds every component is a star
 around its smallest vertex. Links never leave the executors; each round is a table in the shared
-folder, so lineage stays short and lost executors cost one round at most.
+folder, so lineage stays short and lost executors cost one round at most. The smallest neighbours
+are such a table as well: joined with tables, the links of a vertex with very many of them are
+split over several tasks by Spark's adaptive skew join, which it doesn't do beside an aggregate.
+
+Edge cases: links of a vertex with itself, repeated ones and those in either direction count once;
+links with a null end are left out; vertices without links don't appear; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -11,26 +17,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, remove_path, written
+from .common import Scratch
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, t: Scratch) -> DataFrame:
     """links (u, v) with v < u, each once -> the same for the next half round."""
     if large:  # every vertex tells its larger neighbours its smallest one
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = t.put(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # every vertex tells its smaller neighbours, and keeps itself, the smallest one
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
+        least = t.put(links.groupBy("u").agg(F.min("v").alias("m")), "least")
         out = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+    found = t.put(out.where("u > v").distinct(), "links")
+    t.drop(least, links)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every vertex of ``links`` (u long, v long); component: its smallest vertex."""
-    spark = links.sparkSession
-    path = fresh_path(spark, "links")
-    now = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", path)
+    t = Scratch(links.sparkSession)
+    now = t.put(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     seal = None
     while True:
         # a table's fingerprint: it stays the same only when the stars are final
@@ -38,8 +45,5 @@ def components(links: DataFrame) -> DataFrame:
         if found.n == 0 or (found.n, found.x) == seal:
             break
         seal = (found.n, found.x)
-        nxt = fresh_path(spark, "links")
-        now = written(_star(_star(now, True), False), "links", nxt)
-        remove_path(spark, path)
-        path = nxt
+        now = _star(_star(now, True, t), False, t)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
