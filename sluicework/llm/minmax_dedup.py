@@ -299,10 +299,13 @@ def _linked_in(sets: list[np.ndarray], outside: np.ndarray, percent: int) -> Ite
 
 
 def _compared(items: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) that connect components within each block (kind, g, i, j) of items (*block, node, c, outside)."""
+    """Links (u, v) of the components c that belong together, within each block (kind, g, i, j) of items (*block, node, c, outside).
 
-    def block(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        nodes, parent = [r[0] for r in rows], {r[1]: r[1] for r in rows}
+    A component is named by its smallest class; each is linked with the smallest one of those it joins.
+    """
+
+    def block(rows: list[tuple]) -> list[tuple[int, int]]:
+        parent = {r[1]: r[1] for r in rows}
 
         def root(c: int) -> int:
             while parent[c] != c:
@@ -311,23 +314,20 @@ def _compared(items: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             return c
 
         outside = np.flatnonzero([r[2] for r in rows])
-        if not len(outside):
-            return
-        for m, found in _linked_in([r[3] for r in rows], outside, percent):
+        for m, found in _linked_in([r[3] for r in rows], outside, percent) if len(outside) else ():
             for o in found.tolist():
                 x, y = root(rows[m][1]), root(rows[o][1])
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    yield nodes[m], nodes[o]
+                parent[max(x, y)] = min(x, y)
+        return [(c, r) for c in parent if (r := root(c)) != c]  # components are named by one of their classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near duplicates", _hashes.clear)
         key, rows = None, []
 
         def links():
-            found = [x for x in block(rows) if x[0] != x[1]]
+            found = block(rows)
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
         for batch in batches:
             for *now, node, c, out, data in zip(*(batch.column(k).to_pylist() for k in range(7)), batch.column(7)):
