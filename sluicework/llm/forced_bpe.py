@@ -22,6 +22,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 from itertools import chain
 
@@ -31,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import claim, documents_of
-from .vocabulary import BLANKS, KEPT, PIECE, Irregular
+from .vocabulary import BLANKS, KEPT, MARKS, PIECE, Irregular
 
 #: The pre-tokenizer of byte-level vocabularies.
 PRE_TOKEN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -72,7 +73,9 @@ class ForcedBpe:
         self.spaced, self.bare = _Memo(self, " "), _Memo(self, "")
         self.get_any = lambda p: self.get_spaced(p[1:]) if p[0] == " " and p[1:] and p[1] not in BLANKS else self.get_bare(p) if p[0] not in BLANKS else np.asarray(self.encode_piece(p), "<u4").tobytes()
         self.get_spaced, self.get_bare = self.spaced.__getitem__, self.bare.__getitem__
-        self.text_of = {i: str(i) for i in self.bytes_of}
+        self.newline = np.asarray(self.encode_piece("\n"), "<u4").tobytes()
+        places = range(max(self.bytes_of) + 1)  # by number, for whole documents
+        self.bytes_at, self.digits_at = [self.bytes_of.get(i) for i in places], [b"%d" % i for i in places]
 
     def fragments(self, token: bytes) -> list[bytes]:
         """A pre-token cut at every pair of bytes that no token holds."""
@@ -121,6 +124,11 @@ class ForcedBpe:
     def encode_piece(self, piece: str) -> list[int]:
         return list(chain.from_iterable(self.merge(f) for token in PRE_TOKEN.findall(piece) for f in self.fragments(token.encode())))
 
+    def _line(self, text: str) -> bytes:
+        """Ids of what stands between two line breaks, with white space at neither end."""
+        head, *words = text.split(" ")
+        return self.get_bare(head) + b"".join(map(self.get_spaced, words))
+
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text, as 32-bit numbers."""
         if not text:
@@ -128,11 +136,10 @@ class ForcedBpe:
         if self.special and self.special.search(text):
             return np.concatenate([np.asarray([self.specials[x]], "<u4") if x in self.specials else self.encode(x) for x in self.special.split(text)])
         if self.cuts_at_space:
-            head, *words = text.split(" ")
-            try:
-                return np.frombuffer(self.get_bare(head) + b"".join(map(self.get_spaced, words)), "<u4")
-            except Irregular:
-                pass
+            lines = text.split("\n") if "\n\n" not in text else [text]
+            if all(lines) and not any(x[0] in BLANKS or x[-1] in BLANKS for x in lines):
+                with suppress(Irregular):
+                    return np.frombuffer(self.newline.join(map(self._line, lines)), "<u4")
         return np.frombuffer(b"".join(map(self.get_any, PIECE.findall(text))), "<u4")
 
     def decode(self, ids) -> str:
@@ -149,7 +156,11 @@ class _Memo(dict):
     def __missing__(self, word: str) -> bytes:
         if not word or word[-1] in BLANKS or (self.prefix and word[0] in BLANKS):
             raise Irregular
-        ids = np.asarray(self.bpe.encode_piece(self.prefix + word), "<u4").tobytes()
+        core = word.rstrip(MARKS)
+        if len(core) < len(word) and core.isalpha():  # the marks that end a word of letters are a pre-token of their own
+            ids = self[core] + self.bpe.bare[word[len(core) :]]
+        else:
+            ids = np.asarray(self.bpe.encode_piece(self.prefix + word), "<u4").tobytes()
         if len(self) < KEPT and len(word) < 64:
             self[word] = ids
         return ids
@@ -192,13 +203,14 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("forced", forced_bpe.cache_clear)
         bpe = forced_bpe(tokenizer_path)
+        digits, bytes_ = bpe.digits_at.__getitem__, bpe.bytes_at.__getitem__
         for batch in batches:
             counts, of_ids, of_text = [], [], []
             for text in batch.column(1):
                 ids = bpe.encode(text.as_py()).tolist()
                 counts.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(bpe.text_of.__getitem__, ids)).encode()).hexdigest())
-                of_text.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                of_ids.append(hashlib.sha256(b",".join(map(digits, ids))).hexdigest())
+                of_text.append(hashlib.sha256(b"".join(map(bytes_, ids)).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents_of(docs).mapInArrow(run, SCHEMA)
