@@ -8,8 +8,9 @@ as a logistic function of the distance to that cut, which itself gets ``CUT``.
 
 Training reads at most ``PER_CLASS`` labelled documents of each class (chosen by a hash of the
 id, never from the held-out fold) and ``PAIRS`` pairs of them; only their feature vectors reach
-the driver. The cut takes another pass over all texts, of which only the labelled documents'
-scores are shuffled. Scoring runs over all whole texts in one pass without a shuffle.
+the driver. The cut is an exact rank among the labelled documents' scores. ``train_and_score``
+reads all texts in one pass for cut and scores alike; a filter, which must know the cut before it
+reads, takes a second one. Texts are never shuffled.
 
 Edge cases: null and empty texts have all features 0 and are scored as such; without labels of
 both classes nothing can be learned and all documents score ``CUT``, so none is rejected;
@@ -102,23 +103,41 @@ def _vectors(sample: DataFrame) -> DataFrame:
     return sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, f array<double>")
 
 
-def train(labels: DataFrame, docs: DataFrame, label: str = "quality", per_class: int = PER_CLASS, pairs: int = PAIRS) -> Ranker:
+def _fitted(labels: DataFrame, docs: DataFrame, label: str, per_class: int, pairs: int) -> tuple[Ranker, DataFrame, list[int]]:
+    """A ranker without its cut, the labelled rows, and how many there are of each class; weights None if nothing can be learned."""
     labelled = labelled_rows(labels, docs, label)
     sample, found = labelled_sample(labelled, docs, per_class)
     rows = sorted((r.doc_id, r.y, r.f) for r in _vectors(sample).collect()) if all(found) else []
     f, y = np.asarray([r[2] for r in rows]).reshape(len(rows), len(NAMES)), np.asarray([r[1] for r in rows])
     if not rows or y.min() == y.max():
-        return Ranker(np.zeros(len(NAMES)), np.ones(len(NAMES)), np.zeros(len(NAMES)), 0.0)
+        return Ranker(np.zeros(len(NAMES)), np.ones(len(NAMES)), np.zeros(len(NAMES)), 0.0), labelled, [0, 0]
     share = np.where(y == 1, found[1] / max((y == 1).sum(), 1), found[0] / max((y == 0).sum(), 1))
     mean = np.average(f, axis=0, weights=share)
     scale = np.sqrt(np.average((f - mean) ** 2, axis=0, weights=share))
     ranker = Ranker(mean, np.where(scale > 1e-9, scale, 1.0), np.zeros(f.shape[1]), 0.0)
     z = np.clip((f - ranker.mean) / ranker.scale, -8, 8)
     ranker.weights = fit_pairs(z[y == 1], z[y == 0], pairs)
-    ranker.cut = cut_of(margins(docs, ranker).join(labelled, "doc_id"), *found)
+    return ranker, labelled, found
+
+
+def train(labels: DataFrame, docs: DataFrame, label: str = "quality", per_class: int = PER_CLASS, pairs: int = PAIRS) -> Ranker:
+    ranker, labelled, found = _fitted(labels, docs, label, per_class, pairs)
+    if any(found):
+        ranker.cut = cut_of(margins(docs, ranker).join(labelled, "doc_id"), *found)
     return ranker
 
 
+def train_and_score(labels: DataFrame, docs: DataFrame, label: str = "quality", per_class: int = PER_CLASS, pairs: int = PAIRS) -> DataFrame:
+    """What ``score`` gives with ``train``'s ranker. All texts are read once: their margins, kept as a table, give cut and scores."""
+    ranker, labelled, found = _fitted(labels, docs, label, per_class, pairs)
+    if not any(found):
+        return score(docs, ranker)
+    rows = written(margins(docs, ranker), "margins")
+    z = F.col("margin") - cut_of(rows.join(labelled, "doc_id"), *found) + math.log(CUT / (1 - CUT))
+    scored = rows.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-500.0)), F.lit(500.0)))))
+    return scored.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
 def fit_pairs(good: np.ndarray, bad: np.ndarray, pairs: int, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3) -> np.ndarray:
     """Weights of the Bradley-Terry model from random preference pairs (a fixed seed), by Adam."""
     rng = np.random.default_rng(7)

@@ -19,8 +19,7 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score and verdict; training leaves the held-out fold out."""
-    docs = read_table(spark, sf_dir, "documents")
-    return quality_ranker.score(docs, quality_ranker.train(read_table(spark, sf_dir, "labels"), docs))
+    return quality_ranker.train_and_score(read_table(spark, sf_dir, "labels"), read_table(spark, sf_dir, "documents"))
 
 
 def op2_winnowed_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,6 +144,8 @@ def test_quality_against_plain_loops(spark):
         want = 1 / (1 + math.exp(-(margin(text) - model.cut + math.log(0.7 / 0.3))))
         assert r.score == pytest.approx(want, abs=1e-9) and r.predicted == int(r.score >= 0.7)
         assert r.held_out == (k is not None and crc32(str(k).encode()) % 4 == 2)
+    once = quality_ranker.train_and_score(labels, docs).collect()
+    assert sorted((str(r.doc_id), round(r.score, 9), r.predicted, r.held_out) for r in once) == sorted((str(r.doc_id), round(r.score, 9), r.predicted, r.held_out) for r in got)
     y = {}
     for r in labels.collect():
         if r.doc_id is not None and r.quality is not None and crc32(str(r.doc_id).encode()) % 4 != 2:
@@ -172,6 +174,8 @@ def test_models_without_labels_or_texts(spark, module, label, empty):
         assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
         kept = module.keep(docs, model)
         assert kept.schema == docs.schema and kept.count() == 5  # nothing was learned, nothing is rejected
+        if module is quality_ranker:
+            assert sorted(map(repr, module.train_and_score(labels, docs).collect())) == sorted(map(repr, rows))
     assert module.score(docs.limit(0), module.train(odd, docs.limit(0))).count() == 0
     if empty is not None:
         assert {r.score for r in rows if r.doc_id in (2, None)} == {empty}
