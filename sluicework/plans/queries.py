@@ -335,7 +335,7 @@ def plan_bpe_shards(spark, sf_dir):
     docs = _documents(spark, sf_dir).select(F.col("lang").alias("slug"), "doc_id", "text")
     budgets = config.table(spark, PLAN_BUDGETS, "slug string, budget bigint")
     rows = sharding.write_plan(docs, budgets, sharding.learn(docs, MERGES), scratch.fresh_path(spark, "plan"))
-    total = F.aggregate(T.unpacked(F.col("data")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    total = F.pandas_udf(files.id_sums, "bigint")(F.col("data"))  # of whole documents, in steps by their length
     return rows.groupBy("slug").agg(F.count("*").alias("n_docs"), F.sum("seq_len").alias("n_tokens"), F.sum(total).alias("id_sum"))
 
 

@@ -6,6 +6,7 @@ import gzip
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,11 @@ def gzipped(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else gzip.compress(t.encode(), 1, mtime=0) for t in text], dtype=object)
 
 
+def id_sums(data: pd.Series) -> pd.Series:
+    """Sums of little-endian 16-bit ids."""
+    return pd.Series([int(np.frombuffer(d, "<u2").sum(dtype=np.int64)) for d in data], dtype="int64")
+
+
 def with_blobs(rows: DataFrame, blobs: DataFrame) -> DataFrame:
     """Rows (blob_id, src_encoding, ...) with ``text`` from blobs (key, body gzip); "" where there is none.
 
