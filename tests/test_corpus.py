@@ -13,6 +13,7 @@ from sluicework import config
 from sluicework.constants import EOS, N_MERGES, PRE_TOKEN, SPECIALS, printable_bytes
 from sluicework.functions import text as T
 from sluicework.operators import blend, bpe, corpus, kernels, ledger, prefix, sharding, shards
+from sluicework.plans.queries import QUERIES
 from sluicework.sources import files, runs
 from sluicework.sources import shards as shard_files
 from sluicework.streaming import ingest
@@ -175,6 +176,28 @@ def test_training_places_agree(spark, small):
         bpe.train(freq, 6, limit=3)
 
 
+@pytest.mark.parametrize("name", ["bpe_train_k", "encode_tokens", "decode_roundtrip", "vocabulary_files", "tokenizer_report", "plan_bpe_shards"])
+def test_queries_train_many_words_away_from_the_driver(spark, small, monkeypatch, name):
+    """Words of more than DRIVER_BYTES never come to the driver, and nothing else changes."""
+    few = sorted(map(tuple, QUERIES[name](spark, small).collect()))
+    monkeypatch.setattr(bpe, "DRIVER_BYTES", 1000)
+    monkeypatch.setattr(bpe, "merges_of", None)
+    assert sorted(map(tuple, QUERIES[name](spark, small).collect())) == few
+
+
+def test_training_where_it_fits(spark, monkeypatch):
+    """Either way the merges are the same, of a very long word too."""
+    counts = {"ab" * 30_000: 2, "abab": 3, "é": 1, "b": 9}
+    freq = spark.createDataFrame(list(counts.items()), "tok string, cnt long")
+    want = bpe.merges_of(counts, 6)
+    monkeypatch.setattr(bpe, "DRIVER_BYTES", 60_007)
+    assert bpe.train(freq, 6, "either") == want
+    assert bpe.train(freq.limit(0), 6, "either") == []
+    monkeypatch.setattr(bpe, "DRIVER_BYTES", 60_006)
+    monkeypatch.setattr(bpe, "merges_of", None)
+    assert bpe.train(freq, 6, "either") == want
+
+
 def test_a_thousand_merges(spark, small):
     """Several merges a job, each settled by its counts, are those of one at a time."""
     counts = {r.tok: r.cnt for r in bpe.pretoken_freq(spark.read.parquet(f"{small}/documents.parquet")).collect()}
