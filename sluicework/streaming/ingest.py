@@ -56,6 +56,11 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(LEDGER).option("recursiveFileLookup", True).parquet(f"{folder}/ledger")
 
 
-def document_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int = 64) -> DataFrame:
-    """Parquet files of a folder as they arrive, oldest first."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def document_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = 64) -> DataFrame:
+    """Parquet files of a folder as they arrive, oldest first.
+
+    Documents are in order within a batch, and batches in order of arrival. ``files_per_batch`` None
+    puts all files that are there into one batch, so that their order is that of the documents.
+    """
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return (stream if files_per_batch is None else stream.option("maxFilesPerTrigger", files_per_batch)).parquet(folder)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import os
 import random
 
 import pytest
@@ -465,3 +466,26 @@ def test_empty_tables(spark):
     assert shards.windows(tokens, 4, "train", 0.1).count() == 0
     assert bpe.train(bpe.pretoken_freq(none), 3) == []
     assert corpus.byte_cut(none, 10, ["doc_id"], F.floor(F.col("doc_id") / 8)).count() == 0
+
+
+def _scattered(spark, folder, n: int) -> str:
+    """A table of ``n`` documents in as many files, the last documents in the oldest ones."""
+    rows = [(k, "x" * 999, f"s{k % 2}") for k in range(n)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    d.repartitionByRange(n, F.desc("doc_id")).write.parquet(f"{folder}/documents.parquet")
+    files_ = sorted((folder / "documents.parquet").glob("part-*"))
+    assert len(files_) > 64
+    for k, f in enumerate(files_):
+        os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    return str(folder)
+
+
+def test_stream_of_a_table_in_many_files(spark, tmp_path):
+    """A folder is read like a file, and the cut goes by documents whatever file they are in."""
+    folder = _scattered(spark, tmp_path, 90)
+    got = QUERIES["streaming_token_budget"](spark, folder).orderBy("slug").collect()
+    assert [tuple(r) for r in got] == [("s0", 21, 21_000), ("s1", 21, 21_000)]
+    files_ = ingest.document_stream(spark, f"{folder}/[d]ocuments.parquet", "doc_id long, text string, source string", "*", None)
+    ingest.ingest(files_, lambda b: shards.byte_documents(b, "source"), str(tmp_path / "out"), 20_000)
+    kept = [r.doc_id for r in spark.read.parquet(str(tmp_path / "out/tokens")).collect()]
+    assert sorted(kept) == list(range(42))
