@@ -30,7 +30,8 @@ def ingest(stream: DataFrame, frame: Callable[[DataFrame], DataFrame], folder: s
 
     def step(batch: DataFrame, number: int) -> None:
         before = ledger(spark, folder).where(F.col("batch") < number).groupBy("slug").agg(F.sum("n_tokens").alias("used"))
-        rows = frame(batch).join(before, "slug", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+        # a row for each source; a join by slug would put a source's tokens into one task, and the cut with them
+        rows = frame(batch).join(F.broadcast(before), "slug", "left").withColumn("used", F.coalesce("used", F.lit(0)))
         kept = token_budget_cut(rows.where(F.col("used") <= budget), ["slug"], F.lit(budget) - F.col("used")).drop("used", "before")
         kept.write.mode("overwrite").parquet(f"{folder}/tokens/batch={number}")
         done = spark.read.parquet(f"{folder}/tokens/batch={number}").groupBy("slug").agg(F.count("*").alias("n_docs"), F.sum("seq_len").alias("n_tokens"))

@@ -15,7 +15,7 @@ from sluicework.constants import EOS, N_MERGES, PRE_TOKEN, SPECIALS, printable_b
 from sluicework.functions import text as T
 from sluicework.operators import blend, bpe, corpus, kernels, ledger, prefix, sharding, shards
 from sluicework.plans.queries import QUERIES
-from sluicework.sources import files, runs
+from sluicework.sources import files, runs, scratch
 from sluicework.sources import shards as shard_files
 from sluicework.streaming import ingest
 
@@ -489,3 +489,17 @@ def test_stream_of_a_table_in_many_files(spark, tmp_path):
     ingest.ingest(files_, lambda b: shards.byte_documents(b, "source"), str(tmp_path / "out"), 20_000)
     kept = [r.doc_id for r in spark.read.parquet(str(tmp_path / "out/tokens")).collect()]
     assert sorted(kept) == list(range(42))
+
+
+def test_restarts_write_in_parallel(spark, tmp_path, monkeypatch):
+    """No task writes a whole third; the cut is that of one file for each."""
+    folder = _scattered(spark, tmp_path, 90)
+    monkeypatch.setattr(scratch, "fresh_path", lambda s, label: f"{tmp_path}/{label}")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")  # two files a task
+    try:
+        got = QUERIES["streaming_restarts"](spark, folder).orderBy("slug").collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert [tuple(r) for r in got] == [("s0", 21, 21_000), ("s1", 21, 21_000)]
+    assert len(list((tmp_path / "ingest/in").glob("part-*"))) > 3
