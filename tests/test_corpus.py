@@ -503,3 +503,22 @@ def test_restarts_write_in_parallel(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.files.openCostInBytes", before)
     assert [tuple(r) for r in got] == [("s0", 21, 21_000), ("s1", 21, 21_000)]
     assert len(list((tmp_path / "ingest/in").glob("part-*"))) > 3
+
+
+def test_interleaving_deals_no_source_to_one_task(spark, small):
+    """Sources' shares are broadcast whatever their estimated size, and texts that nobody asks for aren't shuffled."""
+    docs_ = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang", "text")
+    shares = spark.createDataFrame([(0, "en", 0.6), (1, "fr", 0.4)], "ord int, lang string, p double")
+    found = corpus.tokenizer_corpus(docs_, shares, "lang", 100_000)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin [lang" in plan(found)
+        sorts = [line for line in plan(found.select("doc_id", "j", "before")).split("\n") if "Window [" in line or "SortMergeJoin" in line]
+        assert sorts and not any("text#" in line for line in sorts)
+        short = plan(found.select("doc_id", "j", "before"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all("text#" not in line for line in short.split("\n") if "Project [" in line and "octet_length" not in line)
+    assert [r.text for r in found.orderBy("t", "ord", "j").limit(3).collect()] and found.where("text is null or text = ''").count() == 0
